@@ -46,15 +46,13 @@ TEMPLATES = {
     "mit-notice": """<<optional>>This <<var max=4>> is<<end>> <<optional>>Released<<end>> <<optional>>Licensed<<end>> under the <<optional>>terms of the<<end>> MIT License""",
     "gpl-2.0-notice": """GNU General Public License <<optional>>as published by the Free Software Foundation<<end>> <<optional>>either<<end>> version 2 <<optional>>of the License<<end>>""",
     "gpl-3.0-notice": """GNU General Public License <<optional>>as published by the Free Software Foundation<<end>> <<optional>>either<<end>> version 3 <<optional>>of the License<<end>>""",
-    "lgpl-notice": """GNU <<var max=1>> General Public License <<optional>>as published by the Free Software Foundation<<end>> version <<var max=2>>""",
+    "lgpl-notice": """GNU Lesser General Public License""",
     "mpl-2.0-notice": """subject to the terms of the Mozilla Public License<<optional>>,<<end>> <<optional>>v<<end>> <<optional>>version<<end>> 2.0""",
     "cc-by-notice": """licensed under <<optional>>a<<end>> <<optional>>the<<end>> <<optional>>Creative Commons<<end>> CC BY <<var max=2>> 4.0""",
     "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
         for any damages arising from the use of this software.""",
     "unlicense-text": """This is free and unencumbered software released into the public domain.""",
 }
-#: LGPL wording must not be a plain GPL; these words must stand in the loop of a template.
-LOOP_WORDS = {"lgpl-notice": {"lesser", "library", "2", "1", "3", "0"}}
 
 
 def words(text: str | None) -> list[str]:
@@ -87,14 +85,13 @@ class Automaton:
     def accepts_at(self, text: list[str], start: int) -> int:
         """The end of the longest accepted run that begins at start, or -1."""
         final, states, end = len(self.steps) - 1, self.closed({0}), -1
-        loop = LOOP_WORDS.get(self.label)
         for i in range(start, len(text) + 1):
             if final in states:
                 end = i
             if i == len(text) or not states:
                 break
             w = text[i]
-            states = self.closed({n for s in states for x, n in self.steps[s] if x == w or x is None and (loop is None or w in loop)})
+            states = self.closed({n for s in states for x, n in self.steps[s] if x == w or x is None})
         return end
 
     def starts(self) -> set[str]:

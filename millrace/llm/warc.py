@@ -175,8 +175,8 @@ COLUMNS = ("record_type", "record_id", "refers_to", "url")
 
 def joined(spark: SparkSession, path: str, found: DataFrame, broken: DataFrame) -> DataFrame:
     """Whole records of those that span several pieces: a piece belongs to the last true start before it."""
-    spans = broken.select("file", F.col("at").alias("record_at"), F.col("next").alias("record_end"))
-    marks = found.select("file", "block", "n", "at").join(spans, (found["at"] == spans["record_at"]) & (found["file"] == spans["file"]), "left").select(found["file"], "block", "n", "at", "record_at", "record_end")
+    spans = broken.select("file", "at", F.col("at").alias("record_at"), F.col("next").alias("record_end"))
+    marks = found.select("file", "block", "n", "at").join(spans, ["file", "at"], "left")
     last = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     owned = marks.withColumn("owner", F.last("record_at", True).over(last)).withColumn("until", F.last("record_end", True).over(last)).where("at < until")
     first = Window.partitionBy("file", "block")

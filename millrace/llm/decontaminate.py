@@ -179,8 +179,8 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, list[str]]]]:
     yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, whole: bool = False) -> DataFrame:
-    """doc_id and, for each row of docs, items: array of item_id, coverage, tiles. whole: the other columns of docs as well."""
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, whole: bool = False, name: str = "items") -> DataFrame:
+    """doc_id and, for each row of docs, an array of item_id, coverage, tiles under a name. whole: the other columns of docs as well."""
     need(docs, "doc_id", "text")
     need(benchmark, "item_id", "text")
     rest = [c for c in docs.columns if c != "text"] if whole else ["doc_id"]
@@ -191,7 +191,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, whole:
         rows = _pass(rows, items, least, f"__items{i}", kind, whole)
         made.append(f"__items{i}")
     items = F.array_sort(F.concat(*(F.col(c) for c in made)))
-    return rows.select(*(["text"] if whole else []), *rest, items.alias("items"))
+    return rows.select(*(["text"] if whole else []), *rest, items.alias(name))
 
 
 def _pass(rows: DataFrame, items: list, least: float, name: str, kind: str, whole: bool) -> DataFrame:
@@ -223,4 +223,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents that no item contaminates, with the columns they came with."""
-    return matches(docs, benchmark, least, whole=True).where(F.size("items") == 0).select(*docs.columns)
+    return matches(docs, benchmark, least, whole=True, name="__items").where(F.size("__items") == 0).select(*docs.columns)

@@ -22,8 +22,8 @@ LOG_SCHEMA = (
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a JSON-lines file; lines that can't be read are dropped."""
-    rows = spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+    parsed = spark.read.text(path).select(F.from_json("value", schema + ", _corrupt_record string").alias("r"))
+    return parsed.where("r is not null and r._corrupt_record is null").select("r.*").drop("_corrupt_record")
 
 
 def append_log(rows: DataFrame, path: str) -> None:

@@ -24,8 +24,8 @@ from .common import map_rows, need
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
 RULES = ("length", "word_length", "symbols", "dup_lines", "letters", "distinct", "sentences", "line_length")
-#: Pseudo-counts of the fit: the mass given to a right, a wrong and an abstaining vote of each rule.
-PRIOR = {"right": 4.0, "wrong": 1.0, "abstain": 1.0}
+#: Pseudo-counts of the fit, of votes bad, none and good: bad documents may pass most rules, good ones seldom fail one.
+PRIOR = {"bad": (4.0, 1.0, 5.0), "good": (0.5, 2.5, 97.0)}
 ROUNDS, CLOSE = 200, 1e-9
 
 
@@ -60,15 +60,12 @@ def measures(text: str | None) -> dict[str, int]:
         "n_lines": len(lines),
         "n_distinct": len(set(words)),
         "n_ended": sum(x.rstrip()[-1:] in b".!?:;\"'" for x in lines),
-        "n_letters": sum(map(str.isalpha, text or "")) if len(raw) < 4096 or not text else len(raw) - len(raw.translate(None, NOT_LETTERS)) - _continuation(raw),
+        "n_letters": len(raw.translate(None, NOT_LETTERS)),
     }
 
 
-NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
-
-
-def _continuation(raw: bytes) -> int:
-    return len(raw.translate(None, bytes(range(128)) + bytes(range(192, 256))))
+#: ASCII characters that aren't letters, and all bytes of a UTF-8 character but its first: other characters count as letters.
+NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha()) + bytes(range(128, 192))
 
 
 def base_failed(m: dict[str, int]) -> bool:
@@ -104,7 +101,7 @@ def fit(patterns: dict[tuple[int, ...], int]) -> tuple[float, np.ndarray, dict[t
     v = np.array(keys)
     weight = np.array([patterns[k] for k in keys], float)
     onehot = np.stack([(v == x) for x in (-1, 0, 1)], axis=2).astype(float)
-    prior = np.array([[PRIOR["right"], PRIOR["abstain"], PRIOR["wrong"]], [PRIOR["wrong"], PRIOR["abstain"], PRIOR["right"]]])
+    prior = np.array([PRIOR["bad"], PRIOR["good"]])
     good = np.where((v < 0).any(1), 0.1, 0.9)  # begins with the all-must-pass rule, as a guess only
     share, table = 0.5, None
     for _ in range(ROUNDS):

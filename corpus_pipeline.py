@@ -18,8 +18,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sites share go from the texts, but for their first place; every document stays."""
-    kept = line_dedup.dedup(docs).select(*docs.columns)
+    """Lines that many sites share go from the texts, but for their first place; documents of which no line is left go too."""
+    out = line_dedup.dedup(docs)
+    lines, removed = out.columns[-2:]
+    kept = out.where((F.col(lines) == 0) | (F.col(removed) < F.col(lines))).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else kept
 
 

@@ -6,7 +6,7 @@ dyadic regions; a dart counts if its weight lies below the element's. Each dart
 its earliest dart. A text of n elements needs about t log t darts in all, not n * t hashes. Equal coordinates have the
 probability of the weighted Jaccard similarity. Runs of ROWS coordinates are bands; texts that share a band meet.
 
-In each bucket the smallest text leads and the others are compared with it: a bucket of n texts gives n - 1 pairs, never
+In each bucket one text leads, by chance, and the others are compared with it: a bucket of n texts gives n - 1 pairs, never
 all. Pairs are verified with the whole sets. Where texts of a bucket then still belong to different classes, another
 round follows with a leader outside the bucket's main class, until every two texts of a bucket are in one class or
 compared, or can't reach the similarity by their sizes. Classes are the connected components.
@@ -23,21 +23,29 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import stored
-from .common import map_rows, need
+from .common import arrow_schema, need
 from .decontaminate import roll
 
+U = np.uint64
+LATE = np.iinfo(U).max
 WORDS, LEAST = 5, 0.8
 #: At similarity 0.8 a pair shares none of 32 bands of 6 once in 16,000; the leaders' links make that rarer.
 BANDS, ROWS = 32, 6
 WORD = re.compile(r"\w+")
 REMEMBERED = 300_000
+#: Texts with so many elements, or so many texts, get their darts at once.
+GATHERED, GATHERED_TEXTS = 100_000, 400
 #: The first rank region ends here, and each further one is twice as far; regions by weight end at 1, 2, 4 and so on.
 FIRST_RANK = 2.0**-7
+#: The second round has one leader in a bucket, and each further round so many times as many.
+LEADERS = 4
 #: Pre-filter of stored sets: 2 ** FILTER_BITS words of 64 bits, whatever the input.
 FILTER_BITS = 18
 
@@ -45,9 +53,9 @@ FILTER_BITS = 18
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser for 64-bit hashes."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+        return x ^ (x >> U(31))
 
 
 class Words(dict):
@@ -64,8 +72,8 @@ def shingles(text: str | None, known: Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of all runs of WORDS words, and how often each occurs."""
     words = WORD.findall((text or "").lower())
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    ids = np.fromiter((known[w] for w in words), np.uint64, len(words))
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    ids = np.array(list(map(known.__getitem__, words)), U)
     return np.unique(mix(roll(mix(ids), min(WORDS, len(ids)))), return_counts=True)
 
 
@@ -81,74 +89,96 @@ def poisson_table(mean: float) -> np.ndarray:
     return np.array(out)
 
 
-def darts(elements: np.ndarray, weights: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and rank of all darts of the elements in one rank region."""
+def darts(elements: np.ndarray, weights: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Element's number, rank and coordinate's random bits of all darts of the elements in one rank region."""
     start, width = (0.0, FIRST_RANK) if rank == 0 else (FIRST_RANK * 2.0 ** (rank - 1), FIRST_RANK * 2.0 ** (rank - 1))
-    hashes, ranks = [], []
+    owners, ranks, bits = [], [], []
     low, high, region = 0.0, 1.0, 0
     top = float(weights.max(initial=0))
     while low < top:
-        own = weights > low
-        e, w = elements[own], weights[own]
+        own = np.flatnonzero(weights > low) if low else np.arange(len(elements))
         with np.errstate(over="ignore"):
-            seed = mix(e + np.uint64((rank * 64 + region + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        n = np.searchsorted(poisson_table(width * (high - low)), (seed >> np.uint64(11)).astype(np.float64) * 2.0**-53, "right")
-        total = int(n.sum())
-        if total:
-            at = np.repeat(np.arange(len(e)), n)
-            nth = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+            seed = mix(elements[own] + U((rank * 64 + region + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        n = np.searchsorted(poisson_table(width * (high - low)), (seed >> U(11)).astype(np.float64) * 2.0**-53, "right")
+        at = np.repeat(np.arange(len(own)), n)
+        if len(at):
+            nth = np.arange(len(at), dtype=U) - np.repeat(np.cumsum(n) - n, n).astype(U)
             with np.errstate(over="ignore"):
-                h = mix(seed[at] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
-            if high > 1.0 or (w < 1).any():
-                place = low + (high - low) * (mix(h ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-                kept = place < w[at]
-                h = h[kept]
-            hashes.append(h)
-            ranks.append(start + width * (mix(h ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(11)).astype(np.float64) * 2.0**-53)
+                h = mix(seed[at] + (nth + U(1)) * U(0xD1342543DE82EF95))
+            owner = own[at]
+            if high > 1.0 or float(weights.min()) < 1:
+                place = low + (high - low) * (mix(h ^ U(0xA0761D6478BD642F)) >> U(11)).astype(np.float64) * 2.0**-53
+                kept = place < weights[owner]
+                h, owner = h[kept], owner[kept]
+            owners.append(owner)
+            ranks.append(start + width * ((h >> U(11)).astype(np.float64) + 1) * 2.0**-53)
+            bits.append(h & U(0x7FF))
         low, high, region = high, high * 2, region + 1
-    return (np.concatenate(hashes), np.concatenate(ranks)) if hashes else (np.zeros(0, np.uint64), np.zeros(0))
+    if not owners:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, U)
+    return np.concatenate(owners), np.concatenate(ranks), np.concatenate(bits)
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
-    """The earliest dart of each coordinate; elements with positive weights must be there."""
-    found, empty, rank = np.zeros(size, np.uint64), np.ones(size, bool), 0
-    while empty.any():
-        h, r = darts(elements, weights, rank)
+def signatures(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+    """A row for each text (sizes: its number of elements, 1 at least): the rank of the earliest dart of each coordinate, as a number that is as good as the dart's name."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    best, rank = np.full(len(sizes) * size, LATE, U), 0
+    while len(owner):
+        which, r, bits = darts(elements, weights, rank)
         rank += 1
-        if len(h):
-            order = np.argsort(r, kind="stable")
-            h = h[order]
-            at, first = np.unique(h % np.uint64(size), return_index=True)
-            at = at.astype(np.int64)
-            new = empty[at]
-            found[at[new]] = h[first[new]]
-            empty[at[new]] = False
-    return found
+        np.minimum.at(best, owner[which] * size + (bits % U(size)).astype(np.int64), r.view(U))  # positive floats sort as their bits
+        left = (best.reshape(-1, size) == LATE).any(1)[owner]  # later regions can't give earlier darts
+        elements, weights, owner = elements[left], weights[left], owner[left]
+    return best.reshape(-1, size)
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
-    rows = mix(sig.reshape(BANDS, ROWS) + np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return mix(np.bitwise_xor.reduce(rows, axis=1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
+    """A hash of each band of each signature."""
+    rows = mix(sig.reshape(-1, BANDS, ROWS) + np.arange(1, ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+    return mix(np.bitwise_xor.reduce(rows, axis=2) + np.arange(BANDS, dtype=U) * U(0xD1B54A32D192ED03)).view(np.int64)
 
 
 def signed(docs: DataFrame, weigh: str = "one") -> DataFrame:
     """doc_id, th, key (of the set), n, bands and set (32 bits of each hash, sorted) of all documents with a word."""
 
-    def make():
-        known = Words()
-
-        def rows(doc_id, th, text) -> Iterator[tuple]:
-            s, counts = shingles(text, known)
-            if len(s):
-                sig = signature(s, counts.astype(np.float64) if weigh == "count" else np.ones(len(s)))
-                small = np.unique((s >> np.uint64(32)).astype(np.uint32))
-                yield doc_id, th, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(small), bands(sig).tolist(), small.tobytes()
-
-        return rows
-
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string"))
-    return map_rows(rows, make, f"doc_id {kind}, th bigint, key binary, n int, bands array<bigint>, `set` binary")
+    out = T._parse_datatype_string(f"doc_id {kind}, th bigint, key binary, n int, bands array<bigint>, `set` binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(out)
+        known = Words()
+        held: list[tuple] = []
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            elements = np.concatenate([x[2] for x in held])
+            weights = np.concatenate([x[3] for x in held]).astype(np.float64) if weigh == "count" else np.ones(len(elements))
+            found = bands(signatures(elements, weights, np.array([len(x[2]) for x in held])))
+            small = [np.unique((x[2] >> U(32)).astype(np.uint32)) for x in held]
+            columns = [
+                [x[0] for x in held],
+                [x[1] for x in held],
+                [hashlib.blake2b(x[2].tobytes(), digest_size=16).digest() for x in held],
+                [len(x) for x in small],
+                pa.ListArray.from_arrays(np.arange(0, found.size + 1, BANDS, dtype=np.int32), found.ravel()),
+                [x.tobytes() for x in small],
+            ]
+            return pa.RecordBatch.from_arrays([c.cast(k.type) if isinstance(c, pa.Array) else pa.array(c, k.type) for c, k in zip(columns, schema)], schema=schema)
+
+        for b in batches:
+            for start in range(0, b.num_rows, 256):
+                for doc_id, th, text in zip(*(c.to_pylist() for c in b.slice(start, 256).columns)):
+                    s, counts = shingles(text, known)
+                    if len(s):
+                        held.append((doc_id, th, s, counts))
+                        total += len(s)
+                    if total >= GATHERED or len(held) >= GATHERED_TEXTS:
+                        yield flush()
+                        held, total = [], 0
+        if held:
+            yield flush()
+
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string")).mapInArrow(run, out)
 
 
 def node(prefix: str = "") -> F.Column:
@@ -215,34 +245,36 @@ def classes(docs: DataFrame, least: float = LEAST, weigh: str = "one") -> DataFr
     texts = member.where("doc = node").select("node").distinct()
     rows = table.select(node().alias("node"), "n", "bands").join(texts, "node", "left_semi").select("node", "n", F.explode("bands").alias("band")).distinct()
     rows = stored(rows, "near-bands")
-    leaders = rows.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "leader")
+    # every band's bucket of the same texts has another leader, so that a text meets several others of its class at once
+    chance = F.struct(F.xxhash64("band", "node").alias("x"), "node")
+    leaders = rows.groupBy("band").agg(F.min(chance).alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", F.col("leader.node").alias("leader"))
     buckets = stored(rows.join(leaders, "band"), "near-buckets")
     sets = table.select(node().alias("node"), "n", "set")
-    links = None
-    asked = buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    todo = buckets
+    asked = buckets.where("node != leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    todo, labels, leaders_each = buckets.where("node != leader").select("band", "node", "n"), None, 1
     while True:
         asked = stored(asked, "near-asked")
-        if asked.isEmpty():
-            break
-        found = verified(asked, sets, least)
-        links = stored(found if links is None else links.unionByName(found).distinct(), "near-links")
-        labels = components(links) if not links.isEmpty() else None
-        # what is left: texts of a bucket in different classes; the next leader stands outside the bucket's main class
-        todo = todo.select("band", "node", "n", "leader")
-        labelled = todo.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node")) if labels is not None else todo.withColumn("class", F.col("node"))
-        labelled = labelled.select("band", "node", "n", "class", "leader").where("node != leader")
-        by_class = labelled.groupBy("band", "class").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("first"), F.min("n").alias("low"), F.max("n").alias("high"))
-        main = by_class.groupBy("band").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        outside = by_class.join(main, "band").where("class != main").groupBy("band").agg(F.min("first").alias("next"))
-        left = labelled.drop("leader").join(outside, "band")
-        todo = stored(left.withColumnRenamed("next", "leader"), "near-buckets")
-        lead = todo.where("node = leader").select("band", F.col("n").alias("ln"), F.col("class").alias("lc"))
-        asked = todo.where("node != leader").join(lead, "band").where(F.col("class") != F.col("lc")).where(F.least("n", "ln") >= least * F.greatest("n", "ln"))
-        asked = asked.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        if todo.isEmpty():
+        if not asked.isEmpty():
+            found = verified(asked, sets, least)
+            # classes so far are stars around their smallest text, and the new links join them
+            labels = components(found if labels is None else labels.where("node != class").select(F.col("class").alias("a"), F.col("node").alias("b")).unionByName(found))
+        # what is left: texts of a bucket in different classes; the next leaders stand outside the bucket's main class,
+        # LEADERS times as many each round, so that a bucket takes few rounds
+        rest = todo
+        labelled = (rest.join(labels, "node", "left") if labels is not None else rest.withColumn("class", F.lit(None).cast(dict(rest.dtypes)["node"]))).withColumn("class", F.coalesce("class", "node"))
+        by_class = labelled.groupBy("band", "class").agg(F.count(F.lit(1)).alias("k"))
+        main = by_class.groupBy("band").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("band", "main")
+        left = stored(labelled.join(main, "band"), "near-left")
+        if left.isEmpty():
             break
-    result = member.join(labels, "node", "left") if links is not None and labels is not None else member.withColumn("class", F.col("node"))
+        order = Window.partitionBy("band").orderBy("node")
+        lead = left.where("class != main").withColumn("i", F.row_number().over(order)).where(F.col("i") <= leaders_each).select("band", F.col("node").alias("leader"), F.col("n").alias("ln"), F.col("class").alias("lc"))
+        lead = stored(lead, "near-lead")
+        met = left.join(lead, "band").where((F.col("class") != F.col("lc")) & (F.least("n", "ln") >= least * F.greatest("n", "ln")))
+        asked = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+        todo = left.select("band", "node", "n").join(lead.select("band", F.col("leader").alias("node")), ["band", "node"], "left_anti")
+        leaders_each *= LEADERS
+    result = member.join(labels, "node", "left") if labels is not None else member.withColumn("class", F.col("node"))
     result = result.select("doc", F.coalesce("class", "node").alias("class"), "n_copies").distinct()
     rest = docs.select("doc_id", F.xxhash64("text").alias("th")).distinct()
     joined = rest.withColumn("doc", node()).join(result, "doc", "left")
@@ -257,7 +289,6 @@ def classes(docs: DataFrame, least: float = LEAST, weigh: str = "one") -> DataFr
 
 def representatives(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The smallest document of each class, with the columns it came with; of repeated rows one."""
-    kept = classes(docs, least).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
-    marked = docs.withColumn("__th", F.xxhash64("text"))
-    joined = marked.join(kept, marked["doc_id"].eqNullSafe(kept["__d"]) & (marked["__th"] == kept["__t"]))
-    return joined.dropDuplicates(["__d", "__t"]).select(*docs.columns)
+    kept = classes(docs, least).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))).select(node().alias("__node"))
+    marked = docs.withColumn("__node", F.struct("doc_id", F.xxhash64("text").alias("th")))
+    return marked.join(kept, "__node").dropDuplicates(["__node"]).select(*docs.columns)

@@ -391,7 +391,8 @@ def _vectors(spark, d):
 
 
 def _vector_queries(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    """The job's query set: every vector whose id is divisible by 50."""
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query
@@ -409,12 +410,11 @@ def vector_matching(spark, d):
     return vectors.matching(_vectors(spark, d), {"label": 3}, 20).select("doc_id")
 
 
-def _lists(spark, d):
-    """A vector list (of embeddings, for documents of the same ids) and a lexical list of the same queries."""
+def _lists(spark, d, near=20, lexical_k=40):
+    """A vector list (of embeddings, for documents of the same ids) of all vector queries, and a lexical list of all questions."""
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    rag = vectors.nearest(_vectors(spark, d), _vector_queries(spark, d), 20).join(docs, "doc_id").select("query_id", "doc_id", "content", "rank")
-    asked = questions(spark, d).where("query_id < 10")
-    words = lexical.search(lexical.build(table(spark, d, "documents")), asked, 40).join(docs, "doc_id").select("query_id", "doc_id", "content", "rank", "bm25_score")
+    rag = vectors.nearest(_vectors(spark, d), _vector_queries(spark, d), near).join(docs, "doc_id").select("query_id", "doc_id", "content", "rank")
+    words = lexical.search(lexical.build(table(spark, d, "documents")), questions(spark, d), lexical_k).join(docs, "doc_id").select("query_id", "doc_id", "content", "rank", "bm25_score")
     return rag, words
 
 
@@ -525,6 +525,7 @@ def tuner_rank(spark, d):
 
 @query
 def tuner_apply(spark, d):
-    rag, words = _lists(spark, d)
-    configs = evaluation.sampled(evaluation.grid(spark), 10)
+    # retrieved once, as deep as the largest configuration reads
+    rag, words = _lists(spark, d, max(evaluation.SPACE["vector_k"]), 2 * max(evaluation.SPACE["max_hybrid_results"]))
+    configs = evaluation.sampled(evaluation.grid(spark))
     return evaluation.apply_configs(rag, words, configs).groupBy("config_key").agg(F.count(F.lit(1)).alias("hits"), F.round(F.avg("hybrid_score"), 6).alias("mean"))

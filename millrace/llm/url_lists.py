@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from .common import need
 
 SALTS = 16
-#: The longest path prefix, in steps, and the most labels of a host that a key may have.
-PATH_STEPS, LABELS = 8, 12
 
 
 def host_of(url: Column) -> Column:
@@ -37,15 +35,15 @@ def path_of(url: Column) -> Column:
 
 
 def keys_of(host: Column, path: Column) -> Column:
-    """The host, its parent domains of two labels and more, and host + path prefixes, each with its depth."""
+    """The host, all its parent domains of two labels and more, and host + every path prefix, each with its depth."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(n - 2, F.lit(LABELS)))),
+        F.sequence(F.lit(0), F.greatest(F.lit(0), n - 2)),
         lambda i: F.struct(F.array_join(F.slice(labels, i + 1, n), ".").alias("key"), (n - i).alias("depth")),
     )
     steps = F.filter(F.split(path, "/"), lambda x: x != "")
-    m = F.least(F.size(steps), F.lit(PATH_STEPS))
+    m = F.size(steps)
     prefixes = F.when(
         m > 0,
         F.transform(F.sequence(F.lit(1), m), lambda i: F.struct(F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")).alias("key"), (n + i).alias("depth"))),

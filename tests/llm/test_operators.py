@@ -61,6 +61,14 @@ def test_url_lists_follow_their_dates(spark):
     assert {r.verdict for r in url_lists.judge(c, e.limit(0)).collect()} == {"pass", "invalid"}
 
 
+def test_url_keys_have_any_number_of_labels_and_steps(spark):
+    deep, path = ".".join(f"a{i}" for i in range(18)) + ".x.org", "/".join(f"s{i}" for i in range(12))
+    c = spark.createDataFrame([(1, f"http://{deep}/", "2024-05-01"), (2, f"http://y.org/{path}/end", "2024-05-01"), (3, "http://y.org/s0/s1", "2024-05-01")], "page_id int, url string, fetched string")
+    e = entries(spark, [("a", "block", "x.org", "add", "2024-02-01"), ("a", "block", f"y.org/{path}", "add", "2024-02-01")])
+    found = sorted((r.page_id, r.verdict, r.key) for r in url_lists.judge(c, e).collect())
+    assert found == [(1, "block", "x.org"), (2, "block", f"y.org/{path}"), (3, "pass", None)]
+
+
 # 2
 
 

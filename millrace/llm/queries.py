@@ -16,7 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: pages has no fetch times and no lists; both are stated here, by rule. Captures: one day of 2024 by page_id.
 FETCHED = "date '2024-01-01' + cast(page_id * 7 % 366 as int)"
-#: Every host of pages gets entries of three lists, dated by the length of its name.
+#: Lists by rule: step, span and changes. A key's first day is its length * step % span days after FIRST_DAY; each change comes so many days later.
+LISTS = {
+    "spam": (11, 120, (("add", 0), ("remove", 40), ("add", 200))),
+    "partners": (17, 300, (("add", 0), ("remove", 30))),
+    "networks": (13, 200, (("add", 0), ("remove", 50))),
+    "sections": (19, 250, (("add", 0), ("remove", 45))),
+}
+FIRST_DAY = "2023-12-15"
+#: The fixed entries of the SQL below; the query takes those of entries_of.
 ENTRIES = [
     ("spam", "block", "spam-farm.example.org", "add", "2024-01-15"),
     ("spam", "block", "spam-farm.example.org", "remove", "2024-06-01"),
@@ -35,10 +43,29 @@ ENTRIES = [
 ]
 
 
+def entries_of(pages: DataFrame) -> DataFrame:
+    """list, action, key, op, day of entries for all distinct hosts of pages: hosts blocked (spam) and allowed (partners), their parent domains blocked (networks), and hosts with a first path step (sections) allowed if the key's length is even, else blocked."""
+    seen = pages.select(url_lists.host_of(F.col("url")).alias("host"), F.get(F.filter(F.split(url_lists.path_of(F.col("url")), "/"), lambda x: x != ""), F.lit(0)).alias("step")).where("host is not null").distinct()
+    entry = lambda name, action, key: F.struct(F.lit(name).alias("list"), action.alias("action"), key.alias("key"))
+    block, allow, section = F.lit("block"), F.lit("allow"), F.concat_ws("/", "host", "step")
+    parents = F.filter(url_lists.keys_of(F.col("host"), F.lit("")), lambda k: k["key"] != F.col("host"))
+    found = F.concat(
+        F.array(entry("spam", block, F.col("host")), entry("partners", allow, F.col("host"))),
+        F.transform(parents, lambda k: entry("networks", block, k["key"])),
+        F.when(F.col("step").isNotNull(), F.array(entry("sections", F.when(F.length(section) % 2 == 0, allow).otherwise(block), section))).otherwise(F.array()),
+    )
+    keys = seen.select(F.explode(found).alias("e")).select("e.*").distinct()
+    changes = None
+    for name, (step, span, ops) in LISTS.items():
+        days = F.array(*(F.struct(F.lit(op).alias("op"), (F.length("key") * step % span + after).alias("after")) for op, after in ops))
+        changes = F.when(F.col("list") == name, days) if changes is None else changes.when(F.col("list") == name, days)
+    return keys.select("list", "action", "key", F.explode(changes).alias("c")).select("list", "action", "key", "c.op", F.date_add(F.lit(FIRST_DAY).cast("date"), F.col("c.after")).cast("string").alias("day"))
+
+
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = spark.createDataFrame(ENTRIES, "list string, action string, key string, op string, day string")
-    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(f"cast({FETCHED} as date)").alias("fetched"))
-    return url_lists.judge(captures, entries, "fetched")
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.expr(f"cast({FETCHED} as date)").alias("fetched"))
+    return url_lists.judge(captures, entries_of(pages), "fetched")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

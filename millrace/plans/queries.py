@@ -57,9 +57,12 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     return nxt.select(F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("question"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("answer"))
 
 
-def cache_rows(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+def cache_rows(spark: SparkSession, d: str) -> DataFrame:
     """A cache of the distinct questions."""
-    t = turns(spark, d).where(where)
+    return cached(turns(spark, d))
+
+
+def cached(t: DataFrame) -> DataFrame:
     return t.groupBy(text.question_hash(F.col("question")).alias("question_hash")).agg(
         F.min("question").alias("question"), F.max("answer").alias("answer"), F.count(F.lit(1)).alias("usage_count"), F.min("session_id").alias("cache_id")
     ).withColumn("answer_quality", F.when(F.col("answer").isNull(), "unanswered").when(F.length("answer") > 200, "rag").otherwise("ai"))
@@ -185,8 +188,10 @@ def cache_upsert(spark, d):
     now = F.lit("2024-06-01T00:00:00")
     none = F.lit(None).cast("string")
     full = lambda c: c.select("question_hash", "question", "answer", F.lit("2024-01-01T00:00:00").alias("created_at"), F.lit("2024-01-01T00:00:00").alias("updated_at"), "answer_quality", none.alias("last_used"), F.col("cache_id").cast("string").alias("cache_id"), none.alias("user_feedback"), none.alias("query_type"), "usage_count", F.array().cast("array<string>").alias("matched_files"))
-    old = full(cache_rows(spark, d, "session_id % 2 = 0"))
-    new = cache_rows(spark, d, "session_id % 3 = 0").select("question", F.concat(F.lit("new: "), F.coalesce("answer", F.lit(""))).alias("answer"), F.lit("rag").alias("answer_quality"), F.lit(None).cast("array<string>").alias("matched_files"), none.alias("user_feedback"), F.lit("rag").alias("query_type"))
+    # the cache of all turns but each session's last meets new answers of the last two, so every turn arrives and some in both
+    asked = turns(spark, d).withColumn("from_last", F.dense_rank().over(Window.partitionBy("session_id").orderBy(F.desc("turn"))))
+    old = full(cached(asked.where("from_last > 1")))
+    new = cached(asked.where("from_last <= 2")).select("question", F.concat(F.lit("new: "), F.coalesce("answer", F.lit(""))).alias("answer"), F.lit("rag").alias("answer_quality"), F.lit(None).cast("array<string>").alias("matched_files"), none.alias("user_feedback"), F.lit("rag").alias("query_type"))
     return store.upsert_cache(old, new, now).select("question_hash", "question", "answer", "created_at", "updated_at", "answer_quality", "query_type", "usage_count")
 
 

@@ -81,3 +81,10 @@ def test_url_lists_are_made_from_all_hosts(spark, duck):
     made = llm.entries_of(llm.table(spark, DATA, "pages")).collect()
     assert {r.host for r in rows} - {None} <= {r.key for r in made}
     assert {(r.list, r.action) for r in made} == {("spam", "block"), ("partners", "allow"), ("networks", "block"), ("sections", "block"), ("sections", "allow")}
+
+
+def test_upsert_covers_all_turns(spark, duck):
+    later = "(SELECT count(DISTINCT x.turn) FROM turns x WHERE x.session_id = turns.session_id AND x.turn > turns.turn)"
+    same(spark, duck, "cache_upsert", without(oracle.SQL["cache_upsert"], ("session_id % 2 = 0", f"{later} > 0"), ("session_id % 3 = 0", f"{later} < 2")))
+    found = {r.question_hash for r in queries.QUERIES["cache_upsert"](spark, DATA).collect()}
+    assert found == {r.question_hash for r in queries.cache_rows(spark, DATA).collect()}

@@ -67,11 +67,10 @@ def _daily(entries: DataFrame) -> DataFrame:
     return known.groupBy("list", "action", "key", F.col("day").cast("date").alias("day")).agg(F.max(F.col("op") == "add").alias("on"))
 
 
-def timelines(entries: DataFrame, last_year: Column) -> DataFrame:
-    """key, year, and the intervals of each list that touch the year: at most 366 for one list and key."""
-    spans = intervals(entries)
-    years = F.sequence(F.year("valid_from"), F.greatest(F.year("valid_from"), F.least(F.coalesce(F.year(F.date_sub("valid_to", 1)), last_year), last_year)))
-    spread = spans.select("*", F.explode(years).alias("year"))
+def timelines(entries: DataFrame, years: DataFrame) -> DataFrame:
+    """key, year, and the intervals of each list that touch the year, for the years asked for (a column year): at most 366 for one list and key."""
+    touches = (F.col("year") >= F.year("valid_from")) & (F.col("valid_to").isNull() | (F.col("year") <= F.year(F.date_sub("valid_to", 1))))
+    spread = intervals(entries).join(F.broadcast(years), touches)
     return spread.groupBy("list", "action", "key", "year").agg(F.sort_array(F.collect_list(F.struct("valid_from", "valid_to"))).alias("spans"))
 
 
@@ -88,7 +87,7 @@ def judge(captures: DataFrame, entries: DataFrame, *carry: str) -> DataFrame:
     asked = base.where(valid).select("host", "path", "fetched").distinct()
     keyed = asked.select("*", F.explode(keys_of(F.col("host"), F.col("path"))).alias("k")).select("host", "path", "fetched", "k.key", "k.depth", F.year("fetched").alias("year"))
     keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("path", "fetched"), F.lit(SALTS)).cast("int"))
-    lines = timelines(entries, F.year(F.current_date())).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lines = timelines(entries, base.where("fetched is not null").select(F.year("fetched").alias("year")).distinct()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = keyed.join(lines, ["key", "year", "salt"])
     active = F.filter("spans", lambda s: (s["valid_from"] <= F.col("fetched")) & (s["valid_to"].isNull() | (F.col("fetched") < s["valid_to"])))
     hits = hits.withColumn("active", active).where(F.size("active") > 0).withColumn("span", F.col("active")[0])

@@ -69,6 +69,12 @@ def test_url_keys_have_any_number_of_labels_and_steps(spark):
     assert found == [(1, "block", "x.org"), (2, "block", f"y.org/{path}"), (3, "pass", None)]
 
 
+def test_url_lists_hold_in_years_after_the_clock(spark):
+    c = spark.createDataFrame([(1, "http://x.org/", "2091-05-01"), (2, "http://y.org/", "2090-12-31"), (3, "http://y.org/", "2091-01-01")], "page_id int, url string, fetched string")
+    e = entries(spark, [("a", "block", "x.org", "add", "2024-02-01"), ("a", "block", "y.org", "add", "2024-02-01"), ("a", "block", "y.org", "remove", "2091-01-01")])
+    assert sorted((r.page_id, r.verdict) for r in url_lists.judge(c, e).collect()) == [(1, "block"), (2, "block"), (3, "pass")]
+
+
 # 2
 
 

@@ -24,23 +24,6 @@ LISTS = {
     "sections": (19, 250, (("add", 0), ("remove", 45))),
 }
 FIRST_DAY = "2023-12-15"
-#: The fixed entries of the SQL below; the query takes those of entries_of.
-ENTRIES = [
-    ("spam", "block", "spam-farm.example.org", "add", "2024-01-15"),
-    ("spam", "block", "spam-farm.example.org", "remove", "2024-06-01"),
-    ("spam", "block", "spam-farm.example.org", "add", "2024-09-10"),
-    ("spam", "block", "cheap-pills.example.com", "add", "2023-11-05"),
-    ("spam", "block", "cheap-pills.example.com", "add", "2024-02-05"),
-    ("networks", "block", "example.net", "add", "2024-03-01"),
-    ("networks", "block", "example.net", "remove", "2024-05-15"),
-    ("networks", "block", "example.net", "add", "2024-11-20"),
-    ("partners", "allow", "blog.ththan.example.net", "add", "2024-04-01"),
-    ("partners", "allow", "blog.ththan.example.net", "remove", "2024-12-01"),
-    ("sections", "block", "therha.example.com/en", "add", "2024-02-29"),
-    ("sections", "allow", "ththre.example.com/fr", "add", "2022-07-01"),
-    ("sections", "block", "example.com", "add", "2024-08-01"),
-    ("sections", "block", "example.com", "remove", "2024-08-31"),
-]
 
 
 def entries_of(pages: DataFrame) -> DataFrame:
@@ -109,12 +92,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
-_ENTRY_ROWS = ",\n    ".join("('" + "', '".join(e) + "')" for e in ENTRIES)
+#: The rule of entries_of, as a table: list, step, span, op, days after the key's first.
+_CHANGES = ", ".join(f"('{name}', {step}, {span}, '{op}', {after})" for name, (step, span, ops) in LISTS.items() for op, after in ops)
 
 SQL = {
     "op1_url_filters": f"""
-WITH e(list, action, key, op, day) AS (VALUES
-    {_ENTRY_ROWS}),
+WITH u AS (SELECT nullif(regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\\.|\\.$', '', 'g'), '') AS host,
+                  list_filter(string_split(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '')[1] AS step FROM pages),
+n AS (SELECT DISTINCT host, unnest(range(2, len(string_split(host, '.')))) AS k FROM u WHERE host IS NOT NULL),
+k(list, action, key) AS (
+  SELECT 'spam', 'block', host FROM u WHERE host IS NOT NULL UNION SELECT 'partners', 'allow', host FROM u WHERE host IS NOT NULL
+  UNION SELECT 'networks', 'block', array_to_string(string_split(host, '.')[-k:], '.') FROM n
+  UNION SELECT 'sections', CASE WHEN length(host || '/' || step) % 2 = 0 THEN 'allow' ELSE 'block' END, host || '/' || step FROM u WHERE host IS NOT NULL AND step IS NOT NULL),
+t(list, f, s, op, o) AS (VALUES {_CHANGES}),
+e AS (SELECT list, action, key, op, DATE '{FIRST_DAY}' + CAST(length(key) * f % s + o AS INT) AS day FROM k JOIN t USING (list)),
 d AS (SELECT list, action, key, CAST(day AS DATE) AS day, max(op = 'add') AS is_on FROM e GROUP BY ALL),
 c AS (SELECT *, lag(is_on) OVER (PARTITION BY list, action, key ORDER BY day) AS before FROM d),
 i AS (SELECT list, action, key, day AS valid_from, lead(day) OVER (PARTITION BY list, action, key ORDER BY day) AS valid_to, is_on

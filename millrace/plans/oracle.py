@@ -15,9 +15,9 @@ turns AS (SELECT conv_id AS session_id, turn, text AS question, CASE WHEN next_r
 HASH = "substr(sha256(trim(lower({0}), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 1, 16)"
 
 
-def cache(name: str = "cache", where: str = "true") -> str:
+def cache(name: str = "cache", where: str = "true", of: str = "turns") -> str:
     return f"""{name} AS (SELECT *, CASE WHEN answer IS NULL THEN 'unanswered' WHEN length(answer) > 200 THEN 'rag' ELSE 'ai' END AS answer_quality FROM (
-  SELECT {HASH.format('question')} AS question_hash, min(question) AS question, max(answer) AS answer, count(*) AS usage_count, min(session_id) AS cache_id FROM turns WHERE {where} GROUP BY 1))"""
+  SELECT {HASH.format('question')} AS question_hash, min(question) AS question, max(answer) AS answer, count(*) AS usage_count, min(session_id) AS cache_id FROM {of} WHERE {where} GROUP BY 1))"""
 
 
 HEAD = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]+)"
@@ -42,21 +42,21 @@ def tokens(column: str) -> str:
     return TOKENS.replace("{0}", column)
 
 
-INDEX = f"""t AS (SELECT doc_id, {tokens("coalesce(text, '')")} AS tokens FROM documents),
-lengths AS (SELECT doc_id, len(tokens) AS dl FROM t),
-postings AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM t) GROUP BY ALL),
+INDEX = f"""t AS MATERIALIZED (SELECT doc_id, {tokens("coalesce(text, '')")} AS tokens FROM documents),
+lengths AS MATERIALIZED (SELECT doc_id, len(tokens) AS dl FROM t),
+postings AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM t) GROUP BY ALL),
 totals AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lengths),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals),
 terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 asked AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest({tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
 scores AS (SELECT query_id, p.doc_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25_score
   FROM asked JOIN terms USING (term) JOIN postings p USING (term) JOIN lengths l ON l.doc_id = p.doc_id CROSS JOIN totals GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25_score, 9) DESC, doc_id) AS rank FROM scores)"""
-NEAR = """sims AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, v.label, list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id < 10),
+NEAR = """sims AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, v.label, list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, doc_id) AS rank FROM sims)"""
 FUSED = f"""{INDEX}, {NEAR},
 rag AS (SELECT query_id, doc_id, text AS content, rank, substr(text, 1, 100) AS key FROM near JOIN documents USING (doc_id) WHERE rank <= 20 AND text <> ''),
-words AS (SELECT query_id, doc_id, text AS content, rank, bm25_score, substr(text, 1, 100) AS key FROM ranked JOIN documents USING (doc_id) WHERE rank <= 40 AND bm25_score > 0 AND query_id < 10 AND text <> ''),
+words AS (SELECT query_id, doc_id, text AS content, rank, bm25_score, substr(text, 1, 100) AS key FROM ranked JOIN documents USING (doc_id) WHERE rank <= 40 AND bm25_score > 0 AND text <> ''),
 lr AS (SELECT query_id, key, arg_min(doc_id, rank) AS doc_id, min(rank) AS rank FROM rag GROUP BY ALL),
 lw AS (SELECT query_id, key, arg_min(doc_id, rank) AS doc_id, min(rank) AS rank, arg_max(bm25_score, rank) AS s, count(*) AS times FROM words GROUP BY ALL),
 f AS (SELECT coalesce(lr.query_id, lw.query_id) AS query_id, coalesce(lr.doc_id, lw.doc_id) AS doc_id, CASE WHEN lr.key IS NOT NULL THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS rag_score, coalesce(s, 0.0) AS bm25_score,
@@ -100,7 +100,7 @@ SQL: dict[str, str] = {
     "session_history_last5": f"""WITH {TURNS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS k FROM turns WHERE answer IS NOT NULL)
       SELECT session_id, string_agg('User: ' || question || chr(10) || 'Assistant: ' || CASE WHEN length(answer) > 200 THEN substr(answer, 1, 200) || '...' ELSE answer END, chr(10) ORDER BY turn) AS history, count(*) AS turns FROM r WHERE k <= 5 GROUP BY 1""",
     "question_hash_lookup": f"WITH {TURNS}, {cache()} SELECT session_id * 1000 + turn AS query_id, c.question_hash, c.cache_id FROM turns t JOIN cache c ON c.question_hash = {HASH.format('upper(t.question)')}",
-    "cache_upsert": f"""WITH {TURNS}, {cache('old', 'session_id % 2 = 0')}, {cache('fresh', 'session_id % 3 = 0')}
+    "cache_upsert": f"""WITH {TURNS}, last AS (SELECT *, dense_rank() OVER (PARTITION BY session_id ORDER BY turn DESC) AS from_last FROM turns), {cache('old', 'from_last > 1', 'last')}, {cache('fresh', 'from_last <= 2', 'last')}
       SELECT coalesce(o.question_hash, f.question_hash) AS question_hash, coalesce(o.question, f.question) AS question, CASE WHEN f.question_hash IS NOT NULL THEN 'new: ' || coalesce(f.answer, '') ELSE o.answer END AS answer,
       CASE WHEN o.question_hash IS NULL THEN '2024-06-01T00:00:00' ELSE '2024-01-01T00:00:00' END AS created_at, CASE WHEN f.question_hash IS NOT NULL THEN '2024-06-01T00:00:00' ELSE '2024-01-01T00:00:00' END AS updated_at,
       CASE WHEN f.question_hash IS NOT NULL THEN 'rag' ELSE o.answer_quality END AS answer_quality, CASE WHEN f.question_hash IS NOT NULL THEN 'rag' END AS query_type, coalesce(o.usage_count, 1) AS usage_count FROM old o FULL JOIN fresh f ON o.question_hash = f.question_hash""",
@@ -161,7 +161,7 @@ SQL: dict[str, str] = {
     "vector_matching": "SELECT vec_id AS doc_id FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 20",
     "hybrid_fusion": f"WITH {FUSED} SELECT query_id, doc_id, rag_score, round(bm25_score, 6) AS bm25_score, round(hybrid_score, 6) AS hybrid_score, search_type, rank FROM fused",
     "hybrid_type_counts": f"WITH {FUSED} SELECT query_id, count(*) FILTER (WHERE search_type = 'rag') AS n_rag, count(*) FILTER (WHERE search_type = 'bm25') AS n_bm25, count(*) FILTER (WHERE search_type = 'hybrid') AS n_hybrid FROM fused GROUP BY 1",
-    "hybrid_reciprocal_rank": f"""WITH {FUSED}, rr AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM (SELECT query_id, doc_id, rank FROM near JOIN documents USING (doc_id) WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 40 AND bm25_score > 0 AND query_id < 10) GROUP BY ALL)
+    "hybrid_reciprocal_rank": f"""WITH {FUSED}, rr AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM (SELECT query_id, doc_id, rank FROM near JOIN documents USING (doc_id) WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 40 AND bm25_score > 0) GROUP BY ALL)
       SELECT query_id, doc_id, round(s, 6) AS rrf_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, doc_id) AS rank FROM rr) WHERE rank <= 20""",
     "rerank_lexical": f"""WITH {RERANKED}, x AS (SELECT query_id, doc_id, rank, count(*) OVER (PARTITION BY query_id) AS c, list_distinct({tokens('query')}) AS q, {tokens('substr(content, 1, 1500)')} AS t FROM hits),
       s AS (SELECT *, CASE WHEN c > 1 THEN CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0.0 END END AS v FROM x),

@@ -59,3 +59,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the files of frames that stored() gave and that nothing needs any more."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/millrace-" in path:
+                where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

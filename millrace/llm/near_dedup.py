@@ -1,18 +1,26 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-A text is the set of its hashed runs of WORDS words (lower case; a shorter text is one run), each with a weight (1, or
-its count). Every element throws darts, a Poisson process over (weight, rank) that depends on its hash alone, cut into
-dyadic regions; a dart counts if its weight lies below the element's. Each dart has a coordinate, and a coordinate keeps
-its earliest dart. A text of n elements needs about t log t darts in all, not n * t hashes. Equal coordinates have the
-probability of the weighted Jaccard similarity. Runs of ROWS coordinates are bands; texts that share a band meet.
-
-In each bucket one text leads, by chance, and the others are compared with it: a bucket of n texts gives n - 1 pairs, never
-all. Pairs are verified with the whole sets. Where texts of a bucket then still belong to different classes, another
-round follows with a leader outside the bucket's main class, until every two texts of a bucket are in one class or
-compared, or can't reach the similarity by their sizes. Classes are the connected components.
-
-Documents with equal sets are one text from the start. Edge cases: texts without a word (null, empty) are classes of
-their own; rows that repeat get the same class; a null doc_id is the smallest; further columns are ignored.
+A text is the bag of its runs of WORDS words (lower case; a shorter text is one run): hashed elements, each weighted by
+its count (weigh="one": by 1). Every element throws darts, a Poisson process over (weight, rank) that depends on its hash
+alone, cut into dyadic regions; a dart counts if its weight lies below the element's. Each dart has a coordinate, and a
+coordinate keeps its earliest dart. A text of weight n needs about t log t darts in all, not n * t hashes. Equal
+coordinates have the probability of the weighted Jaccard similarity (sum of minima by sum of maxima). Runs of ROWS
+coordinates are bands; texts that share a band meet in its bucket.
+
+Pairs are verified with the whole bags, the k-th occurrence of an element standing for itself. Not every pair is made:
+
+1. In each bucket one text leads, by chance, and the others are compared with it.
+2. Only buckets with texts of several classes go on. An element that at most RARE of these texts have is rare, and texts of
+   different classes that share a rare element are compared (RARE * (RARE - 1) / 2 pairs an element at most).
+3. Two texts that share no rare element have at most min(common) elements in common, so most pairs can't reach the
+   similarity. In each bucket the text with the fewest rare elements leads, and others that can reach it are compared.
+4. Texts of a bucket that are still in different classes and could reach the similarity by their common elements and sizes
+   are compared. Nothing else is left, so the classes are the connected components of all similar pairs that share a band.
+
+Texts are known by 64 bits of their bag's hash, elements by 32 bits. Edge cases: texts without a word (null, empty) are
+classes of their own; very long texts are taken whole (a signature's cost grows with the elements, its size doesn't);
+rows that repeat get the same class; a null doc_id is the smallest; empty tables give empty results; further columns are
+ignored, whatever their names, and representatives() hands them on.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stored
+from ..session import dropped, stored
 from .common import arrow_schema, need
 from .decontaminate import roll
 
@@ -44,8 +52,12 @@ REMEMBERED = 300_000
 GATHERED, GATHERED_TEXTS = 100_000, 400
 #: The first rank region ends here, and each further one is twice as far; regions by weight end at 1, 2, 4 and so on.
 FIRST_RANK = 2.0**-7
-#: The second round has one leader in a bucket, and each further round so many times as many.
-LEADERS = 4
+#: Elements that so many of the remaining texts have, at most, are rare.
+RARE = 4
+#: Links that one task joins to classes; more are joined by rounds of joins.
+ONE_TASK = 1 << 20
+#: Texts' keys that a signing task keeps, to give equal ones their bands once.
+KEYS = 1 << 18
 #: Pre-filter of stored sets: 2 ** FILTER_BITS words of 64 bits, whatever the input.
 FILTER_BITS = 18
 
@@ -80,13 +92,8 @@ def shingles(text: str | None, known: Words) -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(256)
 def poisson_table(mean: float) -> np.ndarray:
     """Cumulative probabilities of 0, 1, 2, ... darts."""
-    p, total, out, k = np.exp(-mean), 0.0, [], 0
-    while total < 1 - 1e-15 and k < mean * 4 + 60:
-        total += p
-        out.append(total)
-        k += 1
-        p *= mean / k
-    return np.array(out)
+    k = np.arange(int(mean + 12 * mean**0.5) + 30)
+    return np.cumsum(np.exp(k * np.log(mean) - mean - np.cumsum(np.log(np.maximum(k, 1)))))
 
 
 def darts(elements: np.ndarray, weights: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,40 +145,61 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return mix(np.bitwise_xor.reduce(rows, axis=2) + np.arange(BANDS, dtype=U) * U(0xD1B54A32D192ED03)).view(np.int64)
 
 
-def signed(docs: DataFrame, weigh: str = "one") -> DataFrame:
-    """doc_id, th, key (of the set), n, bands and set (32 bits of each hash, sorted) of all documents with a word."""
+def bag(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """32 bits of every occurrence of every element, sorted: equal for the k-th occurrences of one element."""
+    again = np.repeat(elements, counts)
+    nth = np.arange(len(again), dtype=U) - np.repeat(np.cumsum(counts) - counts, counts).astype(U)
+    with np.errstate(over="ignore"):
+        return np.unique(np.where(nth == 0, again, mix(again + nth * U(0x9E3779B97F4A7C15))) >> U(32)).astype(np.uint32)
+
 
+def signed(docs: DataFrame, weigh: str = "count") -> DataFrame:
+    """doc_id, th (hash of the text), key (of the bag), n, bands and bag of all documents; without a word key is null, and bands and bag are null where the task has met the key before."""
     kind = dict(docs.dtypes)["doc_id"]
-    out = T._parse_datatype_string(f"doc_id {kind}, th bigint, key binary, n int, bands array<bigint>, `set` binary")
+    out = T._parse_datatype_string(f"doc_id {kind}, th bigint, key bigint, n int, bands array<bigint>, bag binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(out)
         known = Words()
+        seen: set[int] = set()
         held: list[tuple] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
-            elements = np.concatenate([x[2] for x in held])
-            weights = np.concatenate([x[3] for x in held]).astype(np.float64) if weigh == "count" else np.ones(len(elements))
-            found = bands(signatures(elements, weights, np.array([len(x[2]) for x in held])))
-            small = [np.unique((x[2] >> U(32)).astype(np.uint32)) for x in held]
+            new = [x for x in held if x[3] is not None]
+            found: list = []
+            if new:
+                weights = np.concatenate([x[4] for x in new]).astype(np.float64)
+                found = bands(signatures(np.concatenate([x[3] for x in new]), weights, np.array([len(x[3]) for x in new]))).tolist()
+            of = iter(found)
+            bags = [None if x[3] is None else bag(x[3], x[4]) for x in held]
             columns = [
                 [x[0] for x in held],
                 [x[1] for x in held],
-                [hashlib.blake2b(x[2].tobytes(), digest_size=16).digest() for x in held],
-                [len(x) for x in small],
-                pa.ListArray.from_arrays(np.arange(0, found.size + 1, BANDS, dtype=np.int32), found.ravel()),
-                [x.tobytes() for x in small],
+                [x[2] for x in held],
+                [None if b is None else len(b) for b in bags],
+                [None if b is None else next(of) for b in bags],
+                [None if b is None else b.tobytes() for b in bags],
             ]
-            return pa.RecordBatch.from_arrays([c.cast(k.type) if isinstance(c, pa.Array) else pa.array(c, k.type) for c, k in zip(columns, schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, schema)], schema=schema)
 
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 for doc_id, th, text in zip(*(c.to_pylist() for c in b.slice(start, 256).columns)):
                     s, counts = shingles(text, known)
+                    key = None
+                    if weigh != "count":
+                        counts = np.ones_like(counts)
                     if len(s):
-                        held.append((doc_id, th, s, counts))
-                        total += len(s)
+                        key = int.from_bytes(hashlib.blake2b(s.tobytes() + counts.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    if key is None or key in seen:
+                        held.append((doc_id, th, key, None, None))
+                    else:
+                        if len(seen) >= KEYS:
+                            seen.clear()
+                        seen.add(key)
+                        held.append((doc_id, th, key, s, counts))
+                        total += int(counts.sum())
                     if total >= GATHERED or len(held) >= GATHERED_TEXTS:
                         yield flush()
                         held, total = [], 0
@@ -181,31 +209,39 @@ def signed(docs: DataFrame, weigh: str = "one") -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string")).mapInArrow(run, out)
 
 
-def node(prefix: str = "") -> F.Column:
-    return F.struct(F.col(f"{prefix}doc_id").alias("doc_id"), F.col(f"{prefix}th").alias("th"))
+def filtered(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """Those of rows whose column may be among wanted's only one: a bit table of fixed size, so that what surely isn't needed isn't shuffled."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(64 << FILTER_BITS))
+    mask = F.expr("shiftleft(1L, cast(__bit % 64 as int))")
+    word = F.shiftright("__bit", 6).cast("int")
+    table = wanted.select(bit(wanted.columns[0]).alias("__bit")).select(word.alias("__word"), mask.alias("__m")).groupBy("__word").agg(F.bit_or("__m").alias("__m"))
+    found = rows.withColumn("__bit", bit(name)).withColumn("__word", word).join(F.broadcast(table), "__word")
+    return found.where(F.col("__m").bitwiseAND(mask) != 0).select(*rows.columns)
 
 
-def filtered(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of sets whose node may be among nodes: a bit table of fixed size, so that what surely isn't needed isn't shuffled."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(64 << FILTER_BITS))
-    word = lambda c: F.shiftright(c, 6).cast("int")
-    mask = lambda c: F.expr("shiftleft(1L, cast(bit % 64 as int))")
-    table = nodes.select(bit.alias("bit")).select(word(F.col("bit")).alias("word"), mask(None).alias("m")).groupBy("word").agg(F.bit_or("m").alias("m"))
-    found = sets.withColumn("bit", bit).withColumn("word", word(F.col("bit"))).join(F.broadcast(table), "word")
-    return found.where(F.col("m").bitwiseAND(mask(None)) != 0).drop("bit", "word", "m")
+def buckets(table: DataFrame) -> DataFrame:
+    """band, key, n and leader (a key) of the bands that several texts share."""
+    rows = table.where("bands is not null").select("key", "n", F.explode("bands").alias("band"))
+    # a text's chance to lead: its key under a mask by band, smallest first; the mask gives the leader's key back
+    turned = lambda c: F.col(c).bitwiseXOR(F.xxhash64("band"))
+    chances = rows.groupBy("band").agg(F.min(turned("key")).alias("low"), F.max(turned("key")).alias("high")).where("low != high")
+    leaders = stored(chances.select("band", turned("low").alias("leader")), "near-leaders")
+    found = stored(filtered(rows, "band", leaders.select("band")).join(leaders, "band"), "near-buckets")
+    dropped(leaders)
+    return found
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """a, b of the pairs (a, b: nodes) whose sets have the similarity."""
-    need_sets = stored(filtered(sets, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))), "near-sets")
-    with_b = pairs.join(need_sets.select(F.col("node").alias("b"), F.col("set").alias("sb"), F.col("n").alias("nb")), "b")
-    both = with_b.join(need_sets.select(F.col("node").alias("a"), F.col("set").alias("sa"), F.col("n").alias("na")), "a")
-    both = both.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
-    schema = both.select("a", "b").schema
+def pairs_of(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
-    def run(batches):
-        import pyarrow as pa
 
+def verified(pairs: DataFrame, bags: DataFrame, least: float, name: str) -> DataFrame:
+    """a, b of the pairs (a, b: keys) whose bags have the similarity; a hot a's pairs are split by AQE, as both sides are shuffled for the join."""
+    with_b = pairs.join(bags.select(F.col("key").alias("b"), F.col("bag").alias("sb"), F.col("n").alias("nb")), "b")
+    both = with_b.join(bags.select(F.col("key").alias("a"), F.col("bag").alias("sa"), F.col("n").alias("na")), "a")
+    both = both.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sa, sb = batch.column("sa"), batch.column("sb")
             keep = np.zeros(batch.num_rows, bool)
@@ -218,77 +254,170 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 keep[i] = shared >= least * (len(x) + len(y) - shared) - 1e-9
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, schema)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and class (its component's smallest node) of all nodes of edges (a, b): smallest neighbour's label, then the label's own label, until nothing changes."""
-    both = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "near-edges")
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("class")), "near-labels")
+    return stored(both.mapInArrow(run, "a bigint, b bigint"), name)
+
+
+def joined_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key and class of the links that one task holds, ONE_TASK of them at most."""
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if parts:
+        nodes, ends = np.unique(np.concatenate(parts, axis=1).ravel(), return_inverse=True)
+        u, v = ends.reshape(2, -1)
+        label, old = np.arange(len(nodes)), None
+        while old is None or (label != old).any():
+            old = label.copy()
+            low = np.minimum(label[u], label[v])
+            for at in (u, v, label[u], label[v]):
+                np.minimum.at(label, at, low)
+            label = label[label]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["key", "class"])
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """key and class (its component's smallest key) of all keys of links (a, b).
+
+    Few links are joined in a task of bounded size. More take rounds: smallest neighbour's label, then the label's own label, until nothing changes.
+    """
+    if links.count() <= one_task:
+        return stored(links.repartition(1).mapInArrow(joined_in_task, "key bigint, class bigint"), "near-labels")
+    both = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "near-edges")
+    labels = stored(both.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("m")).select("key", F.least("key", "m").alias("class")), "near-labels")
     while True:
-        offered = both.join(labels.select(F.col("node").alias("v"), "class"), "v").groupBy(F.col("u").alias("node")).agg(F.min("class").alias("offer"))
-        nearer = labels.join(offered, "node").select("node", F.least("class", "offer").alias("near"), F.col("class").alias("old"))
-        nearer = stored(nearer, "near-nearer")
-        jumped = nearer.join(nearer.select(F.col("node").alias("near"), F.col("near").alias("far")), "near", "left").select("node", F.least("near", F.coalesce("far", "near")).alias("class"), "old")
-        jumped = stored(jumped, "near-labels")
-        labels = jumped.select("node", "class")
-        if jumped.where("class != old").isEmpty():
-            return labels
-
-
-def classes(docs: DataFrame, least: float = LEAST, weigh: str = "one") -> DataFrame:
-    """doc_id, th (hash of the text) and class_id (the smallest doc_id of the class), class_th, n_copies (documents of equal sets) for each distinct row."""
+        offered = both.join(labels.select(F.col("key").alias("v"), "class"), "v").groupBy(F.col("u").alias("key")).agg(F.min("class").alias("offer"))
+        nearer = stored(labels.join(offered, "key").select("key", F.least("class", "offer").alias("near"), F.col("class").alias("old")), "near-nearer")
+        jumped = nearer.join(nearer.select(F.col("key").alias("near"), F.col("near").alias("far")), "near", "left").select("key", F.least("near", F.coalesce("far", "near")).alias("class"), "old")
+        done, labels = labels, stored(jumped, "near-labels")
+        dropped(done, nearer)
+        if labels.where("class != old").isEmpty():
+            dropped(both)
+            return labels.select("key", "class")
+
+
+def unlike(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (band, key, ..) of the bands whose texts are in several classes, with their class."""
+    known = rows.drop("class").join(labels, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    mixed = known.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("band")
+    return stored(known.join(mixed, "band"), "near-left")
+
+
+def rarities(texts: DataFrame, least: float) -> DataFrame:
+    """Of texts (key, class, n, bag): rows a, b of pairs in different classes that share a rare element, and rows a, null, k of texts with k rare elements."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1_000):
+                b = whole.slice(start, 1_000)
+                bags = [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column("bag")]
+                e = np.concatenate(bags).view(np.int32)
+                owner = np.repeat(np.arange(len(bags)), [len(x) for x in bags])
+                order = np.argsort(e, kind="stable")
+                e, owner = e[order], owner[order]
+                first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+                nth = np.arange(len(e)) - np.repeat(first, np.diff(np.append(first, len(e))))
+                keep = nth <= RARE  # one more than a rare element has says enough
+                e, owner = e[keep], owner[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(e), *(pa.array(b.column(c).to_numpy()[owner]) for c in ("key", "class", "n"))], ["e", "key", "class", "n"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = [c.to_numpy() for c in b.columns]
+            if rest is not None:
+                t = [np.concatenate(x) for x in zip(rest, t)]
+            cut = int(np.searchsorted(t[0], t[0][-1]))  # the last element may go on
+            if len(t[0]) - cut > RARE + 1:  # and is common already
+                rest = [x[cut : cut + RARE + 1] for x in t]
+            else:
+                rest = [x[cut:] for x in t]
+            if cut:
+                yield groups([x[:cut] for x in t])
+        if rest is not None:
+            yield groups(rest)
+
+    def groups(t: list[np.ndarray]) -> pa.RecordBatch:
+        e, key, of, n = t
+        first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+        size = np.repeat(np.diff(np.append(first, len(e))), np.diff(np.append(first, len(e))))
+        rare = size <= RARE
+        keys, k = np.unique(key[rare], return_counts=True)
+        e, key, of, n = (x[rare] for x in t)
+        found = []
+        for step in range(1, RARE):
+            same = np.flatnonzero(e[step:] == e[:-step])
+            x, y = same, same + step
+            possible = (of[x] != of[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]))
+            found.append(np.stack([np.minimum(key[x], key[y]), np.maximum(key[x], key[y])], axis=1)[possible])
+        pairs = np.unique(np.concatenate(found), axis=0)
+        none = np.zeros(len(pairs), np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([keys, pairs[:, 0]])), pa.array(np.concatenate([keys, pairs[:, 1]]), mask=np.concatenate([np.ones(len(keys), bool), none.astype(bool)])), pa.array(np.concatenate([k, none]))], ["a", "b", "k"]
+        )
+
+    elements = texts.select("key", "class", "n", "bag").mapInArrow(spread, "e int, key bigint, class bigint, n int")
+    return stored(elements.repartition("e").sortWithinPartitions("e", "key").mapInArrow(meet, "a bigint, b bigint, k bigint"), "near-rare")
+
+
+def classes_of(found: DataFrame, table: DataFrame, least: float) -> DataFrame:
+    """key and class of all texts of the buckets that are linked to others."""
+    asked = found.select("key").distinct()
+    bags = stored(filtered(table.where("bag is not null").select("key", "n", "bag"), "key", asked).groupBy("key").agg(F.first("n").alias("n"), F.first("bag").alias("bag")), "near-bags")
+    followers = found.where("key != leader")
+    links = verified(pairs_of(followers, "leader", "key"), bags, least, "near-links")
+    labels = components(links)
+    left = unlike(followers.select("band", "key", "n"), labels)
+    if left.isEmpty():
+        return labels
+    fewer = stored(filtered(bags, "key", left.select("key")).join(left.select("key", "class").distinct(), "key"), "near-bags")
+    dropped(bags)
+    facts = rarities(fewer, least)
+    rare = facts.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("k").alias("k"))
+    left = left.join(rare, "key", "left").select("band", "key", "class", "n", (F.col("n") - F.coalesce("k", F.lit(0))).alias("common"))
+    # without a shared rare element: shared <= min(common), and shared >= least / (1 + least) * (sum of the sizes) is due
+    possible = (F.col("class") != F.col("class2")) & (F.least("common", "common2") >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-9)
+    second = lambda df: df.select("band", *(F.col(c).alias(c + "2") for c in ("key", "class", "n", "common")))
+    central = left.groupBy("band").agg(F.max(F.struct((F.col("common") / F.col("n")).alias("share"), "key", "class", "n", "common")).alias("x")).select("band", "x.key", "x.class", "x.n", "x.common")
+    central = stored(central, "near-central")
+    met = left.join(second(central), "band").where(possible)
+    asked = pairs_of(met, "key", "key2").unionByName(facts.where("b is not null").select("a", "b")).distinct()
+    more = verified(stored(asked, "near-asked"), fewer, least, "near-links")
+    stars = labels.where("key != class").select(F.col("class").alias("a"), F.col("key").alias("b"))
+    labels = components(stored(stars.unionByName(more), "near-links"))
+    left = unlike(left.join(central.select("band", "key"), ["band", "key"], "left_anti"), labels)
+    if left.isEmpty():
+        return labels
+    met = left.join(second(left), "band").where(possible & (F.col("key") < F.col("key2")))
+    more = verified(pairs_of(met, "key", "key2"), fewer, least, "near-links")
+    stars = labels.where("key != class").select(F.col("class").alias("a"), F.col("key").alias("b"))
+    return components(stored(stars.unionByName(more), "near-links"))
+
+
+def classes(docs: DataFrame, least: float = LEAST, weigh: str = "count") -> DataFrame:
+    """doc_id, th (hash of the text), class_id (the smallest doc_id of the class), class_th and n_copies (documents of equal bags) for each row."""
     need(docs, "doc_id", "text")
     table = stored(signed(docs.select("doc_id", "text"), weigh), "near-signed")
-    sets_of = table.groupBy("key").agg(F.min(node()).alias("node"), F.count(F.lit(1)).alias("n_copies"))
-    member = stored(table.select(node().alias("doc"), "key").join(sets_of, "key").select("doc", "node", "n_copies"), "near-members")
-    texts = member.where("doc = node").select("node").distinct()
-    rows = table.select(node().alias("node"), "n", "bands").join(texts, "node", "left_semi").select("node", "n", F.explode("bands").alias("band")).distinct()
-    rows = stored(rows, "near-bands")
-    # every band's bucket of the same texts has another leader, so that a text meets several others of its class at once
-    chance = F.struct(F.xxhash64("band", "node").alias("x"), "node")
-    leaders = rows.groupBy("band").agg(F.min(chance).alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", F.col("leader.node").alias("leader"))
-    buckets = stored(rows.join(leaders, "band"), "near-buckets")
-    sets = table.select(node().alias("node"), "n", "set")
-    asked = buckets.where("node != leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    todo, labels, leaders_each = buckets.where("node != leader").select("band", "node", "n"), None, 1
-    while True:
-        asked = stored(asked, "near-asked")
-        if not asked.isEmpty():
-            found = verified(asked, sets, least)
-            # classes so far are stars around their smallest text, and the new links join them
-            labels = components(found if labels is None else labels.where("node != class").select(F.col("class").alias("a"), F.col("node").alias("b")).unionByName(found))
-        # what is left: texts of a bucket in different classes; the next leaders stand outside the bucket's main class,
-        # LEADERS times as many each round, so that a bucket takes few rounds
-        rest = todo
-        labelled = (rest.join(labels, "node", "left") if labels is not None else rest.withColumn("class", F.lit(None).cast(dict(rest.dtypes)["node"]))).withColumn("class", F.coalesce("class", "node"))
-        by_class = labelled.groupBy("band", "class").agg(F.count(F.lit(1)).alias("k"))
-        main = by_class.groupBy("band").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("band", "main")
-        left = stored(labelled.join(main, "band"), "near-left")
-        if left.isEmpty():
-            break
-        order = Window.partitionBy("band").orderBy("node")
-        lead = left.where("class != main").withColumn("i", F.row_number().over(order)).where(F.col("i") <= leaders_each).select("band", F.col("node").alias("leader"), F.col("n").alias("ln"), F.col("class").alias("lc"))
-        lead = stored(lead, "near-lead")
-        met = left.join(lead, "band").where((F.col("class") != F.col("lc")) & (F.least("n", "ln") >= least * F.greatest("n", "ln")))
-        asked = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        todo = left.select("band", "node", "n").join(lead.select("band", F.col("leader").alias("node")), ["band", "node"], "left_anti")
-        leaders_each *= LEADERS
-    result = member.join(labels, "node", "left") if labels is not None else member.withColumn("class", F.col("node"))
-    result = result.select("doc", F.coalesce("class", "node").alias("class"), "n_copies").distinct()
-    rest = docs.select("doc_id", F.xxhash64("text").alias("th")).distinct()
-    joined = rest.withColumn("doc", node()).join(result, "doc", "left")
-    return joined.select(
-        "doc_id",
-        "th",
-        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class.doc_id")).alias("class_id"),
-        F.when(F.col("class").isNull(), F.col("th")).otherwise(F.col("class.th")).alias("class_th"),
-        F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
-    )
-
-
-def representatives(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The smallest document of each class, with the columns it came with; of repeated rows one."""
-    kept = classes(docs, least).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))).select(node().alias("__node"))
-    marked = docs.withColumn("__node", F.struct("doc_id", F.xxhash64("text").alias("th")))
-    return marked.join(kept, "__node").dropDuplicates(["__node"]).select(*docs.columns)
+    found = buckets(table)
+    labels = classes_of(found, table, least)
+    dropped(found)
+    own = F.struct("doc_id", "th")
+    groups = stored(table.where("key is not null").groupBy("key").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n_copies")), "near-groups")
+    linked = stored(labels.join(groups, "key").select("key", "class", "first"), "near-linked")
+    named = linked.join(linked.groupBy("class").agg(F.min("first").alias("of")), "class").select("key", "of")
+    named = stored(groups.join(named, "key", "left").select("key", F.coalesce("of", "first").alias("of"), "n_copies"), "near-named")
+    of = F.when(F.col("of").isNull(), own).otherwise(F.col("of"))
+    rows = table.select("doc_id", "th", "key").join(named, "key", "left").withColumn("of", of)
+    return rows.select("doc_id", "th", F.col("of.doc_id").alias("class_id"), F.col("of.th").alias("class_th"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def representatives(docs: DataFrame, least: float = LEAST, weigh: str = "count") -> DataFrame:
+    """The smallest document of each class, with the columns it came with; of rows with its doc_id and text the one whose other columns are smallest as JSON."""
+    found = classes(docs, least, weigh).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th")))
+    kept = stored(found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("__rows")).select(F.struct("doc_id", "th").alias("__node"), "__rows"), "near-kept")
+    marked = docs.withColumn("__node", F.struct("doc_id", F.xxhash64("text").alias("th"))).join(kept, "__node")
+    if kept.where("__rows > 1").isEmpty():
+        return marked.select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = Window.partitionBy("__node").orderBy(F.to_json(F.struct(*rest)) if rest else F.lit(0))
+    repeated = marked.where("__rows > 1").withColumn("__i", F.row_number().over(order)).where("__i = 1")
+    return marked.where("__rows = 1").select(*docs.columns).unionByName(repeated.select(*docs.columns))

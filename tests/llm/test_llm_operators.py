@@ -281,11 +281,12 @@ def test_warc_uncompressed_files_in_blocks(spark):
 # 8
 
 
-def plain_classes(rows, least=0.8):
+def plain_classes(rows, least=0.8, weighted=True):
     sets = {}
     for i, t in rows:
         w = re.findall(r"\w+", (t or "").lower())
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        runs = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else {}
+        sets[i] = {(x, k) for x, n in runs.items() for k in range(n if weighted else 1)}
     parent = {i: i for i in sets}
 
     def top(x):
@@ -323,6 +324,44 @@ def test_near_dedup_classes(spark, odd, none, odd_rows):
     assert near_dedup.representatives(none).count() == 0
 
 
+def test_near_dedup_weighs_by_count(spark):
+    phrase = "one two three four five six "
+    rows = [(1, phrase * 3), (2, phrase * 300), (3, phrase * 290), (4, "x"), (5, "a " * 40_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {x.doc_id: x.class_id for x in near_dedup.classes(docs).collect()} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5} == plain_classes(rows)
+    assert {x.doc_id: x.class_id for x in near_dedup.classes(docs, weigh="one").collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5} == plain_classes(rows, weighted=False)
+
+
+@pytest.mark.parametrize("edits", [(1, 2, 3, 4, 5, 6), (4, 5, 6, 7)])
+def test_near_dedup_of_one_large_group(spark, edits):
+    """Copies of one text that are similar to some copies only: rare elements, central leaders and what is left."""
+    r = random.Random(len(edits))
+    base = prose(150, r)
+    vocabulary = base.split()[:20]
+    def change(k):
+        w = base.split()
+        for _ in range(k):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        return " ".join(w)
+    rows = list(enumerate(change(r.choice(edits)) for _ in range(300)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {x.doc_id: x.class_id for x in near_dedup.classes(docs).collect()} == plain_classes(rows)
+
+
+def test_links_join_alike_in_one_task_and_in_rounds(spark):
+    r = random.Random(9)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(30)]
+    df = near_dedup.stored(spark.createDataFrame([(min(x), max(x)) for x in links if x[0] != x[1]], "a bigint, b bigint"), "t")
+    one, many = (sorted(map(tuple, near_dedup.components(df, n).select("key", "class").collect())) for n in (1 << 20, 0))
+    assert one == many and {c for k, c in one if k >= 1000} == {1000}
+
+
+def test_representative_of_repeated_rows_is_defined(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "w"), (1, "a b c", "w"), (2, "a b c", "a"), (None, "q", "z"), (None, "q", "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, key string").repartition(4)
+    assert sorted(((x.doc_id or 0, x.key) for x in near_dedup.representatives(docs).collect())) == [(0, "y"), (1, "w")]
+
+
 def test_darts_estimate_weighted_similarity():
     r = np.random.default_rng(1)
     e = r.integers(1, 1 << 62, 400).astype(np.uint64)

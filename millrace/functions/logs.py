@@ -71,3 +71,8 @@ def success_rate(done: Column, total: Column) -> Column:
 
 def seconds_left(spent: Column, done: Column, total: Column) -> Column:
     return F.when(done > 0, spent / done * (total - done))
+
+
+def average_length(characters: Column, done: Column) -> Column:
+    """Whole characters a finished item."""
+    return F.when(done > 0, F.floor(characters / done)).otherwise(0)

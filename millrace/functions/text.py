@@ -12,18 +12,17 @@ NULL_WORDS = ("none", "null", "undefined")
 MEANINGLESS = ("", "null", "none", "n/a", "undefined")
 # A key that contains one of these is technical.
 IGNORED_KEYS = ("key", "cl_id", "state", "linking_id", "order", "active", "hbeorder")
-# Stop words of the lexical index, and those of the proxy metric (general ones; a domain adds its own).
+# Stop words of the lexical index; those of the proxy metric are general English, and a parameter.
 STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by")
 TERM_STOP_WORDS = (
     "the", "and", "for", "that", "this", "with", "from", "have", "will", "are", "been", "were", "they", "their", "about", "which", "when",
-    "also", "into", "more", "some", "such", "than", "then", "there", "these", "those", "what", "your", "each", "can", "course", "courses",
-    "students", "student", "include", "including", "study", "program", "programs", "school", "university", "faculty",
+    "also", "into", "more", "some", "such", "than", "then", "there", "these", "those", "what", "your", "each", "can", "include", "including",
 )
 # An answer with one of these is not grounded.
 DOUBTFUL_PHRASES = ("i don't have any information", "i don't know", "insufficient_context", "within the current context")
-# General phrases that block a question; indicators that pass one are the domain's.
-UNSAFE_PHRASES = ("hack", "cheat", "illegal", "bypass", "fake transcript", "forged documents", "academic dishonesty", "buy assignments", "purchase assignments", "assignment service")
-SAFE_INDICATORS = ("program", "course", "degree", "study")
+#: General phrases that block a question; what a domain adds, and the words that pass a question, are parameters.
+UNSAFE_PHRASES = ("hack", "cheat", "illegal", "bypass", "forge")
+SAFE_INDICATORS: tuple[str, ...] = ()
 LONGEST_QUESTION = 10_000
 # Named character references that cleaning decodes.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
@@ -74,16 +73,16 @@ def section_title(c: Column) -> Column:
     return strip(F.regexp_extract(c, r"(?m)^[^\S\n]*##(.*)$", 1))
 
 
-def terms(c: Column) -> Column:
+def terms(c: Column, stop_words: Sequence[str] = TERM_STOP_WORDS) -> Column:
     """Words of four letters and more without stop words, in order, repeats kept."""
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: w.rlike("^[a-z]{4,}$") & ~w.isin(*TERM_STOP_WORDS))
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: w.rlike("^[a-z]{4,}$") & ~w.isin(*stop_words))
 
 
 def index_tokens(c: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Tokens of the lexical index: letters only, over two of them, no stop word; or two digits and more; codes AAAA9999 and 9999 as they are."""
-    raw = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    kept = F.filter(raw, lambda w: w.rlike(r"^[a-z]{4}\d{4}$") | (w.rlike(r"^\p{L}+$") & (F.length(w) > 2) & ~w.isin(*stop_words)) | w.rlike(r"^\d{2,}$"))
-    return F.transform(kept, lambda w: F.when(w.rlike(r"^[a-z]{4}\d{4}$"), F.upper(w)).otherwise(w))
+    kept = F.regexp_extract_all(F.lower(c), F.lit(r"(?<![\p{L}\p{N}])([a-z]{4}\d{4}|\p{L}{3,}+|\d{2,}+)(?![\p{L}\p{N}])"), 1)
+    code = lambda w: (F.length(w) == 8) & (F.substr(w, F.lit(8), F.lit(1)) <= "9") & (F.substr(w, F.lit(1), F.lit(1)) > "9")
+    return F.transform(F.filter(kept, lambda w: ~w.isin(*stop_words)), lambda w: F.when(code(w), F.upper(w)).otherwise(w))
 
 
 def doubtful(answer: Column, phrases: Sequence[str] = DOUBTFUL_PHRASES) -> Column:
@@ -94,7 +93,7 @@ def doubtful(answer: Column, phrases: Sequence[str] = DOUBTFUL_PHRASES) -> Colum
 def safety(question: Column, unsafe: Sequence[str] = UNSAFE_PHRASES, indicators: Sequence[str] = SAFE_INDICATORS, model: Column | None = None) -> Column:
     """Which rule decides: empty, too_long, unsafe, indicator or model; rules in this order. model: the classifier's verdict (true: safe)."""
     low = F.lower(question)
-    any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda p: F.contains(low, p))
+    any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda p: F.contains(low, p)) if words else F.lit(False)
     return (
         F.when(question.isNull() | (strip(question) == ""), "empty")
         .when(F.length(question) > LONGEST_QUESTION, "too_long")

@@ -65,7 +65,9 @@ def display_name(url: Column) -> Column:
 
 
 def links_in(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), 1)
+    """href values of anchors, in double or single quotes or bare."""
+    found = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), 1)
+    return F.transform(found, lambda x: F.regexp_replace(x, r"""^["']|["']$""", ""))
 
 
 def absolute(base: Column, link: Column) -> Column:

@@ -89,8 +89,8 @@ def by_file(chunks: DataFrame) -> DataFrame:
 def source_summary(files: DataFrame, n: int = 10) -> DataFrame:
     """By kind of file: how many, the first n by name, and the latest change. files: kind, name, modified."""
     w = Window.partitionBy("kind").orderBy("name")
-    top = files.withColumn("__n", F.row_number().over(w))
-    return top.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sort_array(F.collect_list(F.when(F.col("__n") <= n, F.col("name")))).alias("first"), F.max("modified").alias("latest"))
+    first = files.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).groupBy("kind").agg(F.sort_array(F.collect_list("name")).alias("first"))  # n rows of each kind and task are shuffled
+    return files.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.max("modified").alias("latest")).join(first, "kind").select("kind", "files", "first", "latest")
 
 
 def scrape_status(listed: DataFrame, scraped: DataFrame) -> DataFrame:

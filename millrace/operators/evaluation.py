@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logs import METRIC_BANDS, OVERALL_BANDS, band, percent_change
 from ..functions.text import code, terms
+from ..session import stored
 
 METRICS = ("faithfulness", "answer_relevancy", "context_recall", "context_precision")
 # The tuner's search space, baseline, weights and sizes.
@@ -169,6 +171,94 @@ def apply_configs(rag: DataFrame, bm25: DataFrame, configs: DataFrame, key_lengt
     return top.select("config_key", "query_id", F.coalesce("r.doc_id", "b.doc_id").alias("doc_id"), F.coalesce("r.content", "b.content").alias("content"), "hybrid_score", "rank")
 
 
+def truth_rows(items: DataFrame) -> DataFrame:
+    """Ground truth of items (question, ground_truth, category, difficulty, keywords): query_id in the order of the texts, and nulls filled."""
+    numbered = items.groupBy("question").agg(F.min(F.struct("ground_truth", "category", "difficulty", "keywords")).alias("t"))
+    return numbered.select(F.concat(F.lit("q_"), F.substring(F.sha2("question", 256), 1, 12)).alias("query_id"), "question", F.coalesce("t.ground_truth", F.lit("")).alias("ground_truth"), F.coalesce("t.category", F.lit("general")).alias("category"), F.coalesce("t.difficulty", F.lit("medium")).alias("difficulty"), F.coalesce("t.keywords", F.array().cast("array<string>")).alias("keywords"))
+
+
+TRUTH = "query_id string, question string, ground_truth string, category string, difficulty string, keywords array<string>"
+
+
+def save_rows(df: DataFrame, folder: str, name: str) -> str:
+    """Results, truth or benchmark rows as JSON lines below a folder; the names of one kind sort by time."""
+    path = f"{folder.rstrip('/')}/{name}"
+    df.write.mode("overwrite").json(path)
+    return path
+
+
+def load_rows(spark: SparkSession, path: str, schema: str = TRUTH) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def chosen(truth: DataFrame, category: str | None = None, difficulty: str | None = None, n: int | None = None) -> DataFrame:
+    """Truth rows of a category and a difficulty (all without), the first n by id."""
+    if category is not None:
+        truth = truth.where(F.col("category") == category)
+    if difficulty is not None:
+        truth = truth.where(F.col("difficulty") == difficulty)
+    return truth if n is None else truth.orderBy("query_id").limit(n)
+
+
+def comprehensive(truth: DataFrame, answered: DataFrame, hits: DataFrame, most: int = 10) -> DataFrame:
+    """query_id, category, difficulty, metric, score of all truth rows: answered (query_id, answer), hits (query_id, rank, content), of which the first so many are contexts."""
+    contexts = hits.where(F.col("rank") <= most).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]).alias("contexts"))
+    items = truth.join(answered.select("query_id", "answer"), "query_id", "left").join(contexts, "query_id", "left")
+    items = items.withColumn("answer", F.coalesce("answer", F.lit(""))).withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
+    return lexical_metrics(items).join(truth.select("query_id", "category", "difficulty"), "query_id").select("query_id", "category", "difficulty", "metric", "score")
+
+
+def ab_test(scores_a: DataFrame, scores_b: DataFrame) -> DataFrame:
+    """compared() of the means of two runs over the same questions, and by metric the questions that each run does better on."""
+    both = scores_a.select("query_id", "metric", F.col("score").alias("a")).join(scores_b.select("query_id", "metric", F.col("score").alias("b")), ["query_id", "metric"])
+    wins = both.groupBy("metric").agg(F.count_if(F.col("a") > F.col("b")).alias("a_wins"), F.count_if(F.col("b") > F.col("a")).alias("b_wins"))
+    return compared(metric_means(scores_a), metric_means(scores_b)).join(wins, "metric")
+
+
+def config_scores(rag: DataFrame, bm25: DataFrame, truth: DataFrame, configs: DataFrame) -> DataFrame:
+    """The mean proxy score of every configuration over all questions, those without a hit included: config columns, config_key, proxy_score, n."""
+    keyed = with_key(configs.select(*SPACE))
+    kept = apply_configs(rag, bm25, keyed)
+    pair = F.to_json(F.struct("config_key", "query_id"))
+    asked = truth.crossJoin(F.broadcast(keyed.select("config_key")))  # as many rows as there are scores
+    scored = proxy(kept.select(pair.alias("query_id"), "content"), asked.select(pair.alias("query_id"), "ground_truth", "keywords"))
+    means = scored.groupBy(F.get_json_object("query_id", "$.config_key").alias("config_key")).agg(F.round(F.avg("proxy_score"), 9).alias("proxy_score"), F.count(F.lit(1)).alias("n"))
+    return keyed.join(F.broadcast(means), "config_key")
+
+
+@dataclass
+class Tuning:
+    """results: every configuration tried, with its mean proxy score; best: the top ones, in order; baseline: the score of the configuration in use."""
+
+    results: DataFrame
+    best: DataFrame
+    baseline: float
+
+
+def tuned(rag: DataFrame, bm25: DataFrame, truth: DataFrame, trials: int = TRIALS, near: int = FOCUSED, seed: int = SEED, top: int = TOP) -> Tuning:
+    """Random search over the space, then a grid around the best: all over lists that were retrieved once, as deep as the largest configuration reads.
+
+    rag: query_id, doc_id, content, rank; bm25: the same with bm25_score; truth: query_id, ground_truth, keywords.
+    """
+    spark = truth.sparkSession
+    first = stored(config_scores(rag, bm25, truth, sampled(grid(spark), trials, seed)), "tuner-random")
+    second = stored(config_scores(rag, bm25, truth, focused(first, near, top)), "tuner-focused")
+    results = first.unionByName(second).dropDuplicates(["config_key"])  # a configuration's score is the same in both
+    base = spark.createDataFrame([tuple(BASELINE.values())], ", ".join(f"{k} {'int' if isinstance(v, int) else 'double'}" for k, v in BASELINE.items()))
+    return Tuning(results, ranked_configs(results).limit(top), config_scores(rag, bm25, truth, base).first().proxy_score)
+
+
+def validated(rag: DataFrame, bm25: DataFrame, truth: DataFrame, configs: DataFrame) -> DataFrame:
+    """All judge metrics of few configurations: config_key, metric, mean, n. truth: query_id, question, ground_truth; the first hit stands for an answer."""
+    kept = apply_configs(rag, bm25, configs.select(*SPACE))
+    lists = kept.groupBy("config_key", "query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]).alias("contexts"))
+    asked = truth.crossJoin(F.broadcast(with_key(configs.select(*SPACE)).select("config_key")))
+    items = asked.join(lists, ["config_key", "query_id"], "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>"))).withColumn("answer", F.coalesce(F.get("contexts", F.lit(0)), F.lit("")))
+    pair = F.to_json(F.struct("config_key", "query_id"))
+    scores = lexical_metrics(items.withColumn("query_id", pair))
+    return scores.groupBy(F.get_json_object("query_id", "$.config_key").alias("config_key"), "metric").agg(F.round(F.avg("score"), 6).alias("mean"), F.count("score").alias("n"))
+
+
 def report(means: DataFrame) -> DataFrame:
     """One text: a line for each metric."""
     lines = graded(means).select(F.format_string("%s: %.4f (%s, %d items)", "metric", "mean", "band", "n").alias("l"))

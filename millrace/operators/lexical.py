@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens
+from ..session import dropped, stored
 
 # The usual constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -17,37 +18,34 @@ BROADCAST_TERMS = 200_000
 
 @dataclass
 class Index:
-    """postings (term, doc_id, tf), lengths (doc_id, dl), terms (term, df, idf), totals (n, avgdl: one row)."""
+    """postings (term, doc_id, tf, dl) and terms (term, df, idf) as stored tables; n documents of avgdl tokens on average."""
 
     postings: DataFrame
-    lengths: DataFrame
     terms: DataFrame
-    totals: DataFrame
+    n: int
+    avgdl: float
 
 
 def build(docs: DataFrame, text: str = "text") -> Index:
-    """Index of docs (doc_id and text). Documents without tokens count in n and avgdl."""
-    tokens = docs.select("doc_id", index_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    lengths = tokens.select("doc_id", F.size("tokens").cast("bigint").alias("dl"))
-    postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))  # over all terms, before the floor
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, lengths, terms, totals)
+    """Index of docs (doc_id and text), written once to the shared folder: a search reads postings and terms only. Documents without tokens count in n and avgdl."""
+    tokens = stored(docs.select("doc_id", index_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens")), "bm25-tokens")
+    n, avgdl = tokens.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
+    each = tokens.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("term"))
+    postings = stored(each.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "bm25-postings")
+    dropped(tokens)
+    df = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "bm25-df")
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = df.agg(F.avg(raw)).first()[0]  # over all terms, before the floor
+    return Index(postings, df.select("term", "df", F.when(raw < 0, EPSILON * F.lit(mean)).otherwise(raw).alias("idf")), n, avgdl or 0.0)
 
 
 def scores(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, bm25_score for each pair that shares a term; repeated query tokens count repeatedly. queries: query_id, query."""
     asked = queries.select("query_id", F.explode(index_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     known = asked.join(index.terms, "term").select("term", "query_id", "qf", "idf")
-    if queries.isEmpty():
-        small = True
-    else:
-        small = asked.count() <= BROADCAST_TERMS
-    hits = index.postings.join(F.broadcast(known) if small else known, "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(index.totals))
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hits = index.postings.join(F.broadcast(known) if small else known, "term")
+    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25_score"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logs import legacy_query_type
 from ..functions.text import question_hash
+from ..session import stored
 
 CACHE_SCHEMA = "question_hash string, question string, answer string, created_at string, updated_at string, answer_quality string, last_used string, cache_id string, user_feedback string, query_type string, usage_count bigint, matched_files array<string>"
 LOG_SCHEMA = (
@@ -32,19 +33,51 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.withColumn("message_id", F.coalesce("message_id", F.expr("uuid()"))).write.mode("append").json(path)
 
 
-def replace(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """df instead of what path holds: written beside it first, then renamed."""
+def _fs(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    return at, at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def settled(spark: SparkSession, path: str) -> str:
+    """The path, after a swap that a crash has cut short is ended or undone: there is a whole table at it again if there was one."""
+    at, fs = _fs(spark, path)
+    path = path.rstrip("/")
+    if fs.exists(at(path)):
+        fs.delete(at(path + ".old"), True)
+    elif fs.exists(at(path + ".staged/_SUCCESS")):
+        fs.rename(at(path + ".staged"), at(path))
+    elif fs.exists(at(path + ".old")):
+        fs.rename(at(path + ".old"), at(path))
+    return path
+
+
+def replace(df: DataFrame, path: str, kind: str = "parquet", batch: int | None = None) -> None:
+    """df instead of what path holds: written whole beside it first; then the old table moves aside and the new one takes its place.
+
+    A crash at any point leaves the old or the new table, whole, for settled(). batch: the number of the change, kept in the table itself.
+    """
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".staged")
-    fs = target.getFileSystem(conf)
-    df.write.mode("overwrite").format(kind).save(staged.toString())
-    fs.delete(target, True)
-    if not fs.rename(staged, target):
-        raise OSError(f"{staged} can't be renamed to {target}")
+    path = settled(spark, path)
+    at, fs = _fs(spark, path)
+    df.write.mode("overwrite").format(kind).save(path + ".staged")
+    if batch is not None:
+        fs.create(at(f"{path}.staged/_batch_{batch}")).close()
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), at(path + ".old")):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(at(path + ".staged"), at(path)):
+        raise OSError(f"{path}.staged can't be renamed to {path}")
+    fs.delete(at(path + ".old"), True)
     spark.catalog.refreshByPath(path)
 
 
+def has_batch(spark: SparkSession, path: str, batch: int) -> bool:
+    """Whether the table has taken this change: a replayed batch must not be taken again."""
+    at, fs = _fs(spark, path)
+    return fs.exists(at(f"{settled(spark, path)}/_batch_{batch}"))
+
+
 def upsert_cache(cache: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
     """Answers (question, answer, answer_quality, matched_files, user_feedback, query_type) by question hash.
 
@@ -85,6 +118,12 @@ def set_answer(cache: DataFrame, key: str, answer: str, now: Column, quality: st
     return joined.withColumn("answer", F.when(this, answer).otherwise(F.col("answer"))).withColumn("answer_quality", F.when(this, quality).otherwise(F.col("answer_quality"))).withColumn("updated_at", F.when(this, now).otherwise(F.col("updated_at"))).drop("__id")
 
 
+def delete_entry(cache: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """Without the rows of a question hash, and whether there were any."""
+    this = F.col("question_hash").eqNullSafe(F.lit(key))
+    return cache.where(~this), not cache.where(this).isEmpty()
+
+
 def delete_where(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return table.join(gone.select(key).distinct(), key, "left_anti")
 
@@ -146,6 +185,16 @@ def without_suffix(chunks: DataFrame, path: str) -> DataFrame:
     return chunks.where(~F.coalesce(F.col("source").endswith(path) | F.col("source").endswith(path.rsplit("/", 1)[-1]), F.lit(False)))
 
 
+def without_suffixes(chunks: DataFrame, paths: DataFrame) -> DataFrame:
+    """Without the chunks whose source ends with one of many paths (path) or their base names: joined on the last step, so only sources of that name are compared."""
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    tails = paths.where("path != ''").select(last(F.col("path")).alias("__step")).where("__step != ''").distinct()
+    steps = chunks.select("source").where("source is not null").distinct().withColumn("__last", last(F.col("source")))
+    # a base name may end a longer step too: every tail of a step is a key
+    keyed = steps.select("source", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__last"), F.lit(1))), lambda i: F.substr("__last", i))).alias("__step"))
+    return chunks.join(keyed.join(tails, "__step").select("source").distinct(), "source", "left_anti").select(*chunks.columns)
+
+
 def apply_changes(chunks: DataFrame, changes: DataFrame) -> DataFrame:
     """A change feed: changes (op: added, modified, deleted; source; and the columns of chunks). Deleted and modified sources go, added and modified chunks come."""
     gone = changes.where("op in ('deleted', 'modified')").select("source").distinct()
@@ -161,20 +210,34 @@ def register(sources: DataFrame, added: DataFrame, removed: DataFrame) -> DataFr
 # Finding a message
 
 
+#: Requests that are compared with the whole log by containment at once; further ones take further passes.
+CONTAINED = 10_000
+
+
 def find_message(asked: DataFrame, logs: DataFrame) -> DataFrame:
-    """message_id for each request (request_id, question, hint timestamp): same question, else a logged question that contains it, else the nearest in time, else the latest.
+    """message_id for each request (request_id, question, hint timestamp): same question, else a logged question that contains it, else the nearest in time, else the latest; of equal ones the first by timestamp.
 
-    Containment compares each request with the log; requests are few and are broadcast by the plan if small.
+    Each step sees the requests that the steps before left open. Containment sends CONTAINED requests at a time to the log, and
+    keeps one message of each request and task before anything is shuffled.
     """
     base = logs.where("type is null").select("message_id", F.col("question").alias("lq"), "timestamp", F.to_timestamp("timestamp").alias("ts"))
-    exact = asked.join(base, F.col("question") == F.col("lq")).select("request_id", F.lit(0).alias("p"), F.lit(0.0).alias("o"), F.col("timestamp").alias("t"), "message_id")
-    inside = asked.join(base, F.contains(F.col("lq"), F.col("question")) & (F.col("question") != "")).select("request_id", F.lit(1).alias("p"), F.lit(0.0).alias("o"), F.col("timestamp").alias("t"), "message_id")
-    latest = base.orderBy(F.desc("timestamp"), "message_id").limit(1)
-    last = asked.crossJoin(F.broadcast(latest)).select("request_id", F.lit(3).alias("p"), F.lit(0.0).alias("o"), F.col("timestamp").alias("t"), "message_id")
-    near = nearest_in_time(asked.where("hint is not null").select("request_id", F.lit(1).alias("k"), F.col("hint").alias("at")), base.where("ts is not null").select(F.lit(1).alias("k"), F.col("ts").alias("at"), "message_id"), ["k"], "request_id", "message_id")
-    close = near.select("request_id", F.lit(2).alias("p"), F.col("gap").cast("double").alias("o"), F.lit("").alias("t"), "message_id")
-    order = Window.partitionBy("request_id").orderBy("p", "o", "t", "message_id")
-    return exact.unionByName(inside).unionByName(close).unionByName(last).withColumn("n", F.row_number().over(order)).where("n = 1").select("request_id", "message_id")
+    first = F.min(F.struct("timestamp", "message_id")).alias("m")
+    pick = lambda d: d.groupBy("request_id").agg(first).select("request_id", "m.message_id")
+    exact = stored(pick(asked.join(base, F.col("question") == F.col("lq"))), "messages-exact")
+    rest = stored(asked.join(exact, "request_id", "left_anti"), "messages-rest")
+    n = rest.where("question != ''").count()
+    inside = None
+    for i in range(-(-n // CONTAINED)):
+        part = rest.where("question != ''").where(F.pmod(F.xxhash64("request_id"), F.lit(-(-n // CONTAINED))) == i)
+        found = pick(base.join(F.broadcast(part), F.contains(F.col("lq"), F.col("question"))))
+        inside = found if inside is None else inside.unionByName(found)
+    inside = stored(inside if inside is not None else exact.limit(0), "messages-inside")
+    rest = rest.join(inside, "request_id", "left_anti")
+    near = nearest_in_time(rest.where("hint is not null").select("request_id", F.col("hint").alias("at")), base.where("ts is not null").select(F.col("ts").alias("at"), "message_id"), [], "request_id", "message_id")
+    near = stored(near.select("request_id", "message_id"), "messages-near")
+    latest = base.orderBy(F.desc("timestamp"), "message_id").limit(1).select("message_id")
+    last = rest.join(near, "request_id", "left_anti").select("request_id").crossJoin(F.broadcast(latest))  # one row
+    return exact.unionByName(inside).unionByName(near).unionByName(last)
 
 
 #: Width of the time buckets of the nearest join, in seconds.
@@ -192,7 +255,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_id:
     r = right.select(*keys, F.col(right_id), sec("at").alias("ra")).withColumn("b", F.floor(F.col("ra") / BUCKET))
     ends = r.groupBy(*keys, "b").agg(F.min(F.struct("ra", right_id)).alias("low"), F.max(F.struct("ra", F.col(right_id))).alias("top"), F.min_by(right_id, F.struct((-F.col("ra")).alias("x"), F.col(right_id).alias("y"))).alias("top_id"))
     hours = l.select(*keys, "b").distinct().withColumn("want", F.lit(True)).join(ends, [*keys, "b"], "full_outer")
-    w = Window.partitionBy(*keys).orderBy("b")
+    w = Window.partitionBy(*keys).orderBy("b")  # one row for each hour: without keys, 8,766 a year
     last = F.last(F.when(F.col("top").isNotNull(), F.struct(F.col("top.ra").alias("ra"), F.col("top_id").alias("id"))), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     first = F.first(F.when(F.col("low").isNotNull(), F.struct(F.col("low.ra").alias("ra"), F.col(f"low.{right_id}").alias("id"))), True).over(w.rowsBetween(1, Window.unboundedFollowing))
     around = hours.withColumn("before", last).withColumn("after", first).where("want").select(*keys, "b", "before", "after")

@@ -5,6 +5,8 @@ Stages add columns: cache hit, safety, rewrite, hypothesis, retrieval, fusion, r
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..functions import logs
 from ..functions.text import doubtful, is_safe, question_hash, safety
 from ..operators import answers, chunking, fusion, lexical, rerank, vectors
 from ..plugins import Models, filled
+from ..session import stored
 
 VECTOR_K, LEXICAL_K, RERANK_K = 50, 100, 12
 NAVIGATION, REDIRECT = "NAVIGATION_QUERY", "REDIRECT:"
@@ -54,6 +57,9 @@ def answer(questions: DataFrame, chunks: DataFrame, cache: DataFrame, models: Mo
     rule = safety(F.col("query"), model=models.safety(F.col("query")) if models.safety else None)
     rewritten = models.rewrite(filled("rewrite", history=F.col("history"), question=F.col("query"))) if models.rewrite else F.col("query")
     staged = rest.withColumn("rule", rule).withColumn("rewritten", rewritten).withColumn("route", route(F.col("rule"), F.col("rewritten")))
+    # what goes to the text model is judged once more, as it was rewritten
+    again = safety(F.col("rewritten"), model=models.safety(F.col("rewritten")) if models.safety else None)
+    staged = staged.withColumn("route", F.when((F.col("route") == "retrieve") & ~is_safe(again), "blocked").otherwise(F.col("route")))
     asked = staged.where("route = 'retrieve'").select("query_id", F.col("rewritten").alias("query"))
     asked = asked.withColumn("hyde", models.hypothesis(filled("hypothesis", question=F.col("query"))) if models.hypothesis else F.lit(None).cast("string"))
     index = lexical.build(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")))
@@ -63,7 +69,7 @@ def answer(questions: DataFrame, chunks: DataFrame, cache: DataFrame, models: Mo
     context = rerank.context(good, "rerank").join(rerank.files(good, "rerank"), "query_id", "left")
     made = staged.join(context, "query_id", "left")
     text = models.answer(filled("answer", context=F.col("context"), question=F.col("rewritten"))) if models.answer else F.substring_index("context", "\n\n", 1)
-    first = F.when(F.col("route") == "redirect", F.trim(F.substring("rewritten", len(REDIRECT) + 1, 10_000))).when((F.col("route") == "retrieve") & F.col("context").isNotNull(), text)
+    first = F.when(F.col("route") == "redirect", F.trim(F.expr(f"substring(rewritten, {len(REDIRECT) + 1})"))).when((F.col("route") == "retrieve") & F.col("context").isNotNull(), text)
     made = made.withColumn("first", first)
     fallback = (F.col("route") == "fallback") | ((F.col("route") == "retrieve") & doubtful(F.col("first")))
     general = models.answer(filled("fallback", question=F.col("query"))) if models.answer else F.lit(None).cast("string")
@@ -74,3 +80,44 @@ def answer(questions: DataFrame, chunks: DataFrame, cache: DataFrame, models: Mo
     )
     old = questions.join(hits, "query_id").select("query_id", "query", "answer", F.lit("answered").alias("status"), F.lit("rag").alias("query_type"), F.lit(True).alias("cache_hit"), F.array().cast("array<string>").alias("matched_files"))
     return new.unionByName(old).withColumn("question_hash", question_hash(F.col("query"))).withColumn("answer", logs.shown_text(F.col("status"), F.col("answer")))
+
+
+def timed(made: DataFrame) -> DataFrame:
+    """The answers, made now and kept in the shared folder, with response_time_ms: the batch's time by question."""
+    began = time.monotonic()
+    kept = stored(made, "answers")
+    n = kept.count()
+    return kept.withColumn("response_time_ms", F.lit(int((time.monotonic() - began) * 1000 / max(n, 1))).cast("bigint"))
+
+
+def process(questions: DataFrame, chunks: DataFrame, cache: DataFrame, models: Models | None = None, history: DataFrame | None = None) -> DataFrame:
+    """answer() and its times."""
+    return timed(answer(questions, chunks, cache, models, history))
+
+
+def retrieved(questions: DataFrame, chunks: DataFrame, models: Models | None = None, k: int = VECTOR_K) -> DataFrame:
+    """query_id, context, matched_files and error of vector retrieval alone: every question has a row, and where nothing was found error says so."""
+    models = models or Models()
+    space = chunks.select(F.col("chunk_id").alias("doc_id"), "embedding")
+    asked = questions.where("coalesce(query, '') != ''").select("query_id", models.embed(F.col("query")).alias("embedding"))
+    hits = vectors.nearest(space, asked, k).join(chunks.select(F.col("chunk_id").alias("doc_id"), "content", "source"), "doc_id")
+    found = rerank.context(hits).join(rerank.files(hits), "query_id", "left")
+    error = F.when(F.coalesce("query", F.lit("")) == "", "empty question").when(F.col("context").isNull(), "nothing found")
+    return questions.join(found, "query_id", "left").select("query_id", "context", F.coalesce("matched_files", F.array().cast("array<string>")).alias("matched_files"), error.alias("error"))
+
+
+#: Passages that the plain chain puts into one prompt.
+CHAIN_K = 20
+
+
+def chain(questions: DataFrame, chunks: DataFrame, models: Models | None = None, k: int = CHAIN_K) -> DataFrame:
+    """query_id and answer by the plain chain: the nearest passages in one prompt, without cache, rules, fusion or rerank."""
+    models = models or Models()
+    found = questions.join(retrieved(questions, chunks, models, k), "query_id")
+    prompt = filled("answer", context=F.col("context"), question=F.col("query"))
+    text = models.answer(prompt) if models.answer else F.substring_index("context", "\n\n", 1)
+    return found.select("query_id", F.when(F.col("error").isNull(), text).alias("answer"))
+
+
+#: Older names of the entry points.
+process_with_rag, process_with_rag_only = process, retrieved

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logs as log_functions
 from ..functions import text, urls
-from ..functions.jsonflat import exploded, key_value
+from ..functions.jsonflat import key_value
 from ..operators import analytics, answers, chunking, evaluation, fusion, lexical, links, rerank, store, vectors
 from ..session import scratch
 from ..streaming import updates
@@ -300,12 +300,6 @@ def html_clean(spark, d):
     return table(spark, d, "pages").select("page_id", text.clean_html(F.col("html")).alias("text"))
 
 
-@query
-def json_sections(spark, d):
-    rows = table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("title"), F.struct(F.lit("value").alias("label"), F.col("value").cast("string").alias("value")).alias("amount"))).alias("raw"))
-    return exploded(rows, "raw", "event_id")
-
-
 # Chunks
 
 

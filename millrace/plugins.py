@@ -35,11 +35,11 @@ def hashing_embedder(dimensions: int = 64) -> Embedder:
 
     def embed(text: Column) -> Column:
         tokens = index_tokens(F.coalesce(text, F.lit("")))
-        sums = F.aggregate(
-            tokens,
-            F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: i * F.lit(0.0)),
-            lambda s, t: F.transform(s, lambda x, i: x + F.when(F.pmod(F.xxhash64(t), F.lit(dimensions)) == i, F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)),
-        )
+        place = lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int")
+        sign = lambda t: F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)).cast("int")
+        codes = F.transform(tokens, lambda t: place(t) * 2 + sign(t))
+        # a place's sum by what stays when its codes go: two passes over the codes for each place, no row rewritten
+        sums = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (F.size(F.array_remove(codes, i * 2 + 1)) - F.size(F.array_remove(codes, i * 2))).cast("double"))
         norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
         return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
 

@@ -39,7 +39,9 @@ def test_index_tokens(spark):
 
 
 def test_safety_order(spark):
-    assert values(spark, text.safety, None, " ", "x" * 10_001, "Hack my course", "which course", "hello") == ["empty", "empty", "too_long", "unsafe", "indicator", "model"]
+    with_indicators = lambda c: text.safety(c, indicators=("course",))
+    assert values(spark, text.safety, "which course") == ["model"]
+    assert values(spark, with_indicators, None, " ", "x" * 10_001, "Hack my course", "which course", "hello") == ["empty", "empty", "too_long", "unsafe", "indicator", "model"]
 
 
 def test_url_functions(spark):
@@ -80,6 +82,23 @@ def test_json_documents():
     assert jsonflat.document({}) == "" and not jsonflat.meaningful(0) and not jsonflat.meaningful("N/A")
 
 
+def test_json_sections_in_order():
+    tree = {"intro": "hello", "modules": [{"value": "m1"}, {"name": "A", "hours": 3}, "m2", {"name": "B"}], "only": [{"deep": {"er": 1}}], "x": {"y": {"z": {"q": {"r": {"s": "far"}}}}}, "none": {"a": {"b": ""}}}
+    assert jsonflat.document(tree) == (
+        "## Intro\nhello\n\n## Modules\n\n- m1\n- m2\n\n### Name\nA\n\n### Hours\n3\n\n### Name\nB\n\n"
+        "## Only\n\n### Deep\n\n#### Er\n1\n\n## X\n\n### Y\n\n#### Z\n\n##### Q\n\n###### R\n\n**S:** far"
+    )
+    assert jsonflat.document([{"a": 1}, "b", {"c": 2}], ("part",)) == "# Part\n\n## A\n1\n\n- b\n\n## C\n2"
+    assert [p for p, _ in jsonflat.subtrees({"l": [{"a": 1}, 2, {"b": {"c": 3}}]})] == ["root", "l", "l -> 0", "l -> 2", "l -> 2 -> b"]
+
+
+def test_json_pages_and_list_values(spark):
+    rows = spark.createDataFrame([("u1", '{"title":"T","description":"D","code":"C1"}'), ("u2", "{}"), ("u3", "broken")], "url string, j string")
+    found = jsonflat.structured(rows, "j", "url").collect()
+    assert [(r.page_content, r.metadata) for r in found] == [("## Title\nT\n\n## Overview\nD\n\n## Code\nC1", {"source": "u1", "title": "T", "code": "C1", "content_type": "", "content_length": "37"})]
+    assert values(spark, jsonflat.list_values, '[{"value":"a"},{"label":"b"},{"value":"","label":"c"},{"q":1}]', "{}", None) == [["a", "b", "c"], [], []]
+
+
 def test_json_columns(spark):
     df = spark.createDataFrame([('{"a": {"b": "c"}}',), ("broken",), (None,)], "j string")
     assert [r[0] for r in df.select(jsonflat.to_markdown(F.col("j"))).collect()] == ["## A\n\n### B\nc", "", ""]

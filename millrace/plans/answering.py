@@ -48,7 +48,8 @@ def retrieve(questions: DataFrame, chunks: DataFrame, index: lexical.Index, mode
 def answer(questions: DataFrame, chunks: DataFrame, cache: DataFrame, models: Models | None = None, history: DataFrame | None = None) -> DataFrame:
     """query_id, query, answer, status, query_type, cache_hit, matched_files for questions (query_id, query)."""
     models = models or Models()
-    hits = answers.lookup(questions, cache).join(cache.select("cache_id", "answer"), "cache_id").select("query_id", "answer")
+    # what several later stages read is written once
+    hits = stored(answers.lookup(questions, cache).join(cache.select("cache_id", "answer"), "cache_id").select("query_id", "answer"), "answers-cached")
     rest = questions.join(hits.select("query_id"), "query_id", "left_anti")
     if history is not None:
         rest = rest.join(history.select("query_id", "history"), "query_id", "left")
@@ -60,11 +61,13 @@ def answer(questions: DataFrame, chunks: DataFrame, cache: DataFrame, models: Mo
     # what goes to the text model is judged once more, as it was rewritten
     again = safety(F.col("rewritten"), model=models.safety(F.col("rewritten")) if models.safety else None)
     staged = staged.withColumn("route", F.when((F.col("route") == "retrieve") & ~is_safe(again), "blocked").otherwise(F.col("route")))
+    staged = stored(staged, "answers-staged")
     asked = staged.where("route = 'retrieve'").select("query_id", F.col("rewritten").alias("query"))
     asked = asked.withColumn("hyde", models.hypothesis(filled("hypothesis", question=F.col("query"))) if models.hypothesis else F.lit(None).cast("string"))
+    asked = stored(asked, "answers-asked")
     index = lexical.build(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")))
     found = retrieve(asked, chunks, index, models).join(asked.select("query_id", "query"), "query_id")
-    top = rerank.grade(rerank.rerank(found, RERANK_K, models.score), models.grade)
+    top = rerank.grade(stored(rerank.rerank(found, RERANK_K, models.score), "answers-top"), models.grade)
     good = rerank.only_relevant(top)
     context = rerank.context(good, "rerank").join(rerank.files(good, "rerank"), "query_id", "left")
     made = staged.join(context, "query_id", "left")

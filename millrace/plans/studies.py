@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, fusion, rerank
-from ..session import scratch
+from ..session import scratch, stored
 from . import answering
 from .oracle import BAND, FUSED, INDEX, NEAR, terms_of
 from .queries import FUSE, _bm25, _lists, cache_rows, questions, table
@@ -79,7 +79,7 @@ def answer_contexts(spark, d):
 def answer_batch(spark, d):
     """All questions through the whole pipeline, with the default plug-ins: no SQL says that, tests compare it by parts."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), F.lit("pdf").alias("content_type"), F.lit("").alias("code"), F.lit("").alias("title"))
-    chunks = answering.build(docs, answering.Models())
+    chunks = stored(answering.build(docs, answering.Models()), "chunks")
     return answering.answer(questions(spark, d), chunks, cache_rows(spark, d)).select("query_id", "status", "query_type", "cache_hit", F.md5("answer").alias("answer"))
 
 

@@ -30,18 +30,23 @@ class TextModel(Protocol):
     def __call__(self, prompt: Column) -> Column: ...
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hashing_embedder(dimensions: int = 64) -> Embedder:
     """Unit vectors of signed token counts by hash, in built-in expressions."""
 
     def embed(text: Column) -> Column:
-        tokens = index_tokens(F.coalesce(text, F.lit("")))
         place = lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int")
         sign = lambda t: F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)).cast("int")
-        codes = F.transform(tokens, lambda t: place(t) * 2 + sign(t))
-        # a place's sum by what stays when its codes go: two passes over the codes for each place, no row rewritten
-        sums = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (F.size(F.array_remove(codes, i * 2 + 1)) - F.size(F.array_remove(codes, i * 2))).cast("double"))
-        norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+        codes = F.transform(index_tokens(F.coalesce(text, F.lit(""))), lambda t: place(t) * 2 + sign(t))
+        # a place's sum by what stays when its codes go
+        at = lambda c, i: (F.size(F.array_remove(c, i * 2 + 1)) - F.size(F.array_remove(c, i * 2))).cast("double")
+        sums = _once(codes, lambda c: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: at(c, i)))
+        norm = lambda s: F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, x: a + x * x))
+        return _once(sums, lambda s: _once(norm(s), lambda n: F.transform(s, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float"))))
 
     return embed
 

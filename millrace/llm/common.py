@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,10 +52,54 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
                 rows = []
         if rows:
             yield batch()
+        rows = []
+        tidy()
 
     return df.mapInArrow(run, out)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+#: Pre-filter of joins: 2 ** FILTER_BITS words of 64 bits, whatever the input.
+FILTER_BITS = 18
+
+
+def bit_table(wanted: DataFrame) -> DataFrame:
+    """The bits (__word, __m) of all values of wanted's only column."""
+    bits = wanted.select(_bit(wanted.columns[0]).alias("__bit"))
+    return bits.groupBy(_word().alias("__word")).agg(F.bit_or(_mask()).alias("__m"))
+
+
+def maybe_in(rows: DataFrame, name: str, table: DataFrame) -> DataFrame:
+    """rows with a flag __maybe: false if the column's value is surely not in the bit table, which has a fixed size."""
+    marked = rows.withColumn("__bit", _bit(name)).withColumn("__word", _word()).join(F.broadcast(table), "__word", "left")
+    return marked.select(*rows.columns, (F.coalesce("__m", F.lit(0)).bitwiseAND(_mask()) != 0).alias("__maybe"))
+
+
+def filtered(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """Those of rows whose column may be among wanted's only one, so that what surely isn't needed isn't shuffled."""
+    return maybe_in(rows, name, bit_table(wanted)).where("__maybe").select(*rows.columns)
+
+
+def _bit(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(64 << FILTER_BITS))
+
+
+def _word() -> Column:
+    return F.shiftright("__bit", 6).cast("int")
+
+
+def _mask() -> Column:
+    return F.expr("shiftleft(1L, cast(__bit % 64 as int))")
+
+
 def need(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
@@ -61,3 +108,47 @@ def need(df: DataFrame, *names: str) -> None:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+U = np.uint64
+BASE = U(0x9E3779B97F4A7C15)
+#: Words whose hashes a task keeps.
+REMEMBERED = 200_000
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A finaliser for 64-bit hashes."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+        return x ^ (x >> U(31))
+
+
+class Words(dict):
+    """64-bit hash by word; forgets everything when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+        return h
+
+
+def roll(x: np.ndarray, n: int) -> np.ndarray:
+    """Sum of x[i + k] * BASE ** (n - 1 - k) for each i."""
+    if len(x) < n:
+        return x[:0]
+    out, have, power, double, span, weight = None, 0, n, x, 1, BASE
+    with np.errstate(over="ignore"):
+        while power:
+            if power & 1:
+                m = len(x) - (have + span) + 1
+                out = double[:m] if out is None else out[:m] * weight + double[have : have + m]
+                have += span
+            power >>= 1
+            if power:
+                m = len(double) - span
+                double = double[:m] * weight + double[span : span + m]
+                weight = weight * weight
+                span *= 2
+    return out

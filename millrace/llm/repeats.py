@@ -27,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
-from .common import need
-from .near_dedup import mix
+from ..session import dropped, stored
+from .common import bit_table, filtered, maybe_in, mix, need
 
 WINDOW = 100
 #: Lengths of the hashed runs: minimizers of each refinement.
@@ -214,7 +213,7 @@ def meet(rows: DataFrame) -> DataFrame:
 def fetched(pieces_: DataFrame, docs: DataFrame) -> DataFrame:
     """h, d, p, hot and the bytes (s) of pieces (h, d, p, n, hot)."""
     by_doc = pieces_.withColumn("row", F.shiftright("p", ROW)).groupBy("d", "row").agg(F.collect_list(F.struct("h", "p", "n", "hot")).alias("of"))
-    joined = docs.join(by_doc, ["d", "row"]).select("d", "text", "of")
+    joined = filtered(docs, "d", pieces_.select("d")).join(by_doc, ["d", "row"]).select("d", "text", "of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -428,10 +427,13 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def marks(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """d, p (row << ROW | place) and n: runs of windows that begin earlier elsewhere. docs: as numbered() gives them."""
-    found, rows = [], cut(docs)
+    """d, row and of (a list of p: place, n) of the rows with windows that begin earlier elsewhere. docs: as numbered() gives them."""
+    found, mets, texts, rows = [], [], None, cut(docs)
     for level in range(len(LEVELS)):
         met = stored(meet(rows), "repeats-met")
+        mets.append(met)
+        if texts is not None:
+            dropped(texts)
         found.append(met.where("mark").select("d", "p", F.col("n").cast("int").alias("n")))
         several = met.where(~F.col("mark")).select("h", "d", "p", "n")
         counts = several.groupBy("h").count()
@@ -442,19 +444,25 @@ def marks(docs: DataFrame, group: int = GROUP) -> DataFrame:
             found.append(indexed(texts))
             break
         texts = stored(texts, "repeats-texts")
-        found.append(indexed(texts.where(~F.col("hot"))))
+        found.append(stored(indexed(texts.where(~F.col("hot"))), "repeats-marks"))
         rows = cut_again(texts.where("hot"), level + 1)
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out
+    place = F.col("p").bitwiseAND((1 << ROW) - 1)
+    by_doc = out.groupBy("d", F.shiftright("p", ROW).alias("row")).agg(F.collect_list(F.struct(place.alias("p"), "n")).alias("of"))
+    by_doc = stored(by_doc, "repeats-by-doc")
+    dropped(*mets)
+    return by_doc
 
 
 def removed(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """For each row doc_id, text, spans (removed byte ranges, in order, apart from each other)."""
+    """For each row d, text, and of (its marks). Only texts that may have marks are shuffled."""
     base = numbered(docs)
-    by_doc = marks(base, group).withColumn("row", F.shiftright("p", ROW)).groupBy("d", "row").agg(F.collect_list(F.struct((F.col("p").bitwiseAND((1 << ROW) - 1)).alias("p"), "n")).alias("of"))
-    return base.join(by_doc, ["d", "row"], "left").select("d", "text", "of")
+    by_doc = marks(base, group)
+    known = maybe_in(base, "d", bit_table(by_doc.select("d")))
+    with_marks = known.where("__maybe").join(by_doc, ["d", "row"], "left").select("d", "text", "of")
+    return with_marks.unionByName(known.where("not __maybe").select("d", "text", F.lit(None).cast(dict(by_doc.dtypes)["of"]).alias("of")))
 
 
 def merged(place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -28,8 +28,12 @@ LONGEST_QUESTION = 10_000
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
+#: White space at a text's ends: Unicode's, and the four separators of ASCII.
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{SPACE}|{SPACE}$", "")
 
 
 def normalized_question(c: Column) -> Column:

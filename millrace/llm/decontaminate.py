@@ -1,33 +1,37 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words (lower case) of test items and documents are compared. Every run of SEED words that a document shares with an item
-is a seed. For a document and an item with seeds enough, greedy string tiling marks longest common runs first: Karp-Rabin
-hashes of all unmarked windows of one length find the longest match, which is marked in both texts so that no word counts
-twice; then again, down to SEED words. The share of the item's words under tiles is its coverage; passages in another
-order count as much as passages in place. From ``least`` coverage on, the document is contaminated by the item.
+is a seed. Seeds are joined by hash: documents first drop the runs whose bit isn't in a table of the benchmark's seeds (of
+fixed size, whatever the benchmark's), the rest meet the seeds in a join. A text and an item with seeds enough to reach the
+coverage come together with their texts, and greedy string tiling marks longest common runs first: Karp-Rabin hashes of all
+unmarked windows of one length find the longest match, which is marked in both texts so that no word counts twice; then
+again, down to SEED words. The share of the item's words under tiles is its coverage; passages in another order count as
+much as passages in place. From ``least`` coverage on, the document is contaminated by the item.
 
-Items come to the tasks in blocks of at most BLOCK_WORDS words, one pass over the documents each, so the size of what
-is sent is bounded however large the benchmark is.
+What is shuffled grows with the matches: seeds that are shared, and texts that may be contaminated, each once however many
+copies it has (texts are known by 64 bits of hash).
 
 Edge cases: items of fewer than SEED words, and null texts, match nothing; an empty benchmark or table gives no matches;
-repeated rows are checked one by one; items that occur twice are reported twice.
+very long texts are taken whole; of equally long runs the first in the item, then in the text, is marked; repeated rows are
+judged one by one, alike; items that occur twice are reported twice; further columns, whatever their names, are ignored by
+``contaminated`` and handed on by ``clean``.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, need
+from ..session import stored
+from .common import U, Words, bit_table, filtered, map_rows, maybe_in, mix, need, roll
 
 SEED, LEAST = 5, 0.8
-BLOCK_WORDS = 1_000_000
+#: Bits of the table of seeds, as a power of two.
+BITS = 24
 WORD = re.compile(r"\w+")
-BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
@@ -41,26 +45,6 @@ def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return roll(x, n)
 
 
-def roll(x: np.ndarray, n: int) -> np.ndarray:
-    """Sum of x[i + k] * BASE ** (n - 1 - k) for each i."""
-    if len(x) < n:
-        return x[:0]
-    out, have, power, double, span, weight = None, 0, n, x, 1, BASE
-    with np.errstate(over="ignore"):
-        while power:
-            if power & 1:
-                m = len(x) - (have + span) + 1
-                out = double[:m] if out is None else out[:m] * weight + double[have : have + m]
-                have += span
-            power >>= 1
-            if power:
-                m = len(double) - span
-                double = double[:m] * weight + double[span : span + m]
-                weight = weight * weight
-                span *= 2
-    return out
-
-
 def tile(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (item place, document place, length), longest first. Ids under 0 match nothing."""
     free_i, free_d = item >= 0, doc >= 0
@@ -105,122 +89,119 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[int
     return tiles
 
 
-class Block:
-    """Items by their words' numbers, and the seeds' hashes with the items that have them."""
-
-    def __init__(self, items: list[tuple[object, list[str]]], least: float) -> None:
-        self.least, self.items, self.number = least, [], {}
-        hashes, owners, places = [], [], []
-        for key, text in items:
-            if len(text) < SEED:
-                continue
-            ids = np.array([self.number.setdefault(w, len(self.number)) for w in text], np.int64)
-            h = window_hashes(ids, SEED)
-            hashes.append(h)
-            owners.append(np.full(len(h), len(self.items)))
-            places.append(np.arange(len(h)))
-            self.items.append((key, ids))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.seeds, self.owners, self.places = h[order], (np.concatenate(owners) if owners else h)[order], (np.concatenate(places) if places else h)[order]
-
-    def matches(self, text: str | None) -> Iterator[tuple[object, float, int]]:
-        """(item, coverage, tiles) from least coverage on."""
-        if not self.items or not text:
-            return
-        found = self.number.get
-        ids = np.array([found(w, -1) for w in words(text)], np.int64)
-        if len(ids) < SEED or not (ids >= 0).any():
-            return
-        blocked = np.concatenate([[0], np.cumsum(ids < 0)])
-        at = np.flatnonzero(blocked[SEED:] == blocked[:-SEED])
-        if not len(at):
-            return
-        h = window_hashes(ids, SEED)[at]
-        first = np.searchsorted(self.seeds, h)
-        hit = self.seeds[np.minimum(first, len(self.seeds) - 1)] == h
-        if not hit.any():
-            return
-        at, h = at[hit], h[hit]
-        kinds = np.unique(h)
-        low, high = np.searchsorted(self.seeds, kinds), np.searchsorted(self.seeds, kinds, "right")
-        which = np.concatenate([np.arange(a, b) for a, b in zip(low, high)])
-        owners, places = self.owners[which], self.places[which]
-        for o in np.unique(owners):
-            key, item = self.items[o]
-            p = places[owners == o]
-            covered = np.zeros(len(item) + 1, np.int64)  # no tiling can cover more than the seeds do
-            np.add.at(covered, p, 1)
-            np.add.at(covered, p + SEED, -1)
-            if (np.cumsum(covered)[:-1] > 0).sum() < self.least * len(item):
-                continue
-            mine = at[np.isin(h, np.unique(self.seeds[which][owners == o]))]
-            mark = np.zeros(len(ids) + 1, np.int64)
-            np.add.at(mark, mine, 1)
-            np.add.at(mark, mine + SEED, -1)
-            inside = np.cumsum(mark)[:-1] > 0
-            edge = inside | np.concatenate([[False], inside[:-1]])  # one stop between runs
-            tiles = tile(item, np.where(inside, ids, -1)[edge])
-            coverage = sum(n for *_, n in tiles) / len(item)
-            if coverage >= self.least:
-                yield key, coverage, len(tiles)
-
-
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, list[str]]]]:
-    """Items with their words, at most BLOCK_WORDS words at a time (one item more than that is a block of its own)."""
-    block, size = [], 0
-    for key, text in benchmark.select("item_id", F.col("text").cast("string")).toLocalIterator():
-        w = words(text)
-        if block and size + len(w) > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((key, w))
-        size += len(w)
-    yield block
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, whole: bool = False, name: str = "items") -> DataFrame:
-    """doc_id and, for each row of docs, an array of item_id, coverage, tiles under a name. whole: the other columns of docs as well."""
-    need(docs, "doc_id", "text")
-    need(benchmark, "item_id", "text")
-    rest = [c for c in docs.columns if c != "text"] if whole else ["doc_id"]
-    item = dict(benchmark.dtypes)["item_id"]
-    kind = f"array<struct<item_id:{item},coverage:double,tiles:int>>"
-    rows, made = docs.select("text", *rest), []
-    for i, items in enumerate(blocks(benchmark)):
-        rows = _pass(rows, items, least, f"__items{i}", kind, whole)
-        made.append(f"__items{i}")
-    items = F.array_sort(F.concat(*(F.col(c) for c in made)))
-    return rows.select(*(["text"] if whole else []), *rest, items.alias(name))
+def seeds(text: list[str], known: Words) -> np.ndarray:
+    """Hash of every run of SEED words, in order."""
+    return mix(roll(mix(np.array(list(map(known.__getitem__, text)), U)), SEED)) if len(text) >= SEED else np.zeros(0, U)
+
+
+def coverage(item: list[str], doc: list[str], known: Words, least: float) -> tuple[float, int] | None:
+    """The share of the item's words under tiles, and the number of tiles; None if it is under least."""
+    hi, hd = seeds(item, known), seeds(doc, known)
+    at = np.flatnonzero(np.isin(hd, hi))
+    if not len(at) or _covered(np.flatnonzero(np.isin(hi, hd)), len(item)).sum() < least * len(item):  # no tiling can cover more than the seeds do
+        return None
+    number: dict[str, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for w in item])
+    inside = _covered(at, len(doc))
+    edge = inside | np.concatenate([[False], inside[:-1]])  # one stop between runs
+    there = np.array([number.get(w, -1) for w in doc])
+    tiles = tile(ids, np.where(inside, there, -1)[edge])
+    share = sum(n for *_, n in tiles) / len(item)
+    return (share, len(tiles)) if share >= least else None
+
+
+def _covered(starts: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie in the runs of SEED words that begin at these places."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + SEED, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def seed_rows(benchmark: DataFrame) -> DataFrame:
+    """item (hash of its text), n (its words) and seed, a row for each run of SEED words."""
+
+    def make():
+        known = Words()
 
+        def rows(item, text):
+            w = words(text)
+            for h in seeds(w, known).view(np.int64).tolist():
+                yield (item, len(w), h)
 
-def _pass(rows: DataFrame, items: list, least: float, name: str, kind: str, whole: bool) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_WORDS words
+        return rows
+
+    return map_rows(benchmark.select("item", "text").distinct(), make, "item bigint, n int, seed bigint")
+
+
+def hits(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """th and seed of the texts' runs that may be seeds (of: seed_rows), each once a text."""
+    place = F.col("seed").bitwiseAND((1 << BITS) - 1)
+    table = of.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("m")).collect()
+    bits = np.zeros(1 << (BITS - 6), np.int64)  # 2 ** BITS bits at most, whatever the benchmark
+    if table:
+        bits[[r[0] for r in table]] = [r[1] for r in table]
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def make():
+        known, have = Words(), sent.value.view(U)
+
+        def rows(th, text):
+            h = seeds(words(text), known)
+            p = h & U((1 << BITS) - 1)
+            for x in np.unique(h[(have[(p >> U(6)).astype(np.int64)] >> (p & U(63))) & U(1) == 1]).view(np.int64).tolist():
+                yield (th, x)
+
+        return rows
+
+    return map_rows(docs.select("th", "text"), make, "th bigint, seed bigint")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """th (xxhash64 of the text) and items (an array of item_id, coverage, tiles) of the contaminated texts."""
+    need(docs, "doc_id", "text")
+    need(benchmark, "item_id", "text")
+    text = F.col("text").cast("string")
+    items = stored(benchmark.select("item_id", text.alias("text")).where("text is not null").withColumn("item", F.xxhash64("text")), "bench-items")
+    texts = docs.select(F.xxhash64("text").alias("th"), text.alias("text")).where("text is not null")
+    of = stored(seed_rows(items), "bench-seeds")
+    shared = hits(texts, of).join(of, "seed").groupBy("th", "item").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    # a run of SEED words covers SEED words at most
+    pairs = stored(shared.where(F.col("k") * SEED >= least * F.col("n")).select("th", "item"), "bench-pairs")
+    whole = filtered(texts, "th", pairs.select("th")).groupBy("th").agg(F.first("text").alias("text"))
+    both = pairs.join(items.groupBy("item").agg(F.first("text").alias("of")), "item").join(whole, "th")
 
     def make():
-        block = Block(sent.value, least)
+        known = Words()
 
-        def each(text, *rest):
-            yield (text, *rest, [{"item_id": k, "coverage": round(c, 6), "tiles": n} for k, c, n in block.matches(text)])
+        def rows(th, item, of, text):
+            found = coverage(words(of), words(text), known, least)
+            if found:
+                yield (th, item, round(found[0], 6), found[1])
 
-        return each
+        return rows
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), f"`{name}` {kind}"])
-    return map_rows(rows, make, schema)
+    tiled = map_rows(both.select("th", "item", "of", "text"), make, "th bigint, item bigint, coverage double, tiles int")
+    named = tiled.join(items.select("item", "item_id"), "item").groupBy("th").agg(F.array_sort(F.collect_list(F.struct("item_id", "coverage", "tiles"))).alias("items"))
+    return stored(named, "bench-matches")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, contaminated, n_items, items (their ids) and the largest coverage of each document."""
     found = matches(docs, benchmark, least)
-    return found.select(
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th")).join(found, "th", "left")
+    return rows.select(
         "doc_id",
-        (F.size("items") > 0).alias("contaminated"),
-        F.size("items").cast("bigint").alias("n_items"),
-        F.transform("items", lambda x: x["item_id"]).alias("items"),
+        F.col("items").isNotNull().alias("contaminated"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
+        F.coalesce(F.transform("items", lambda x: x["item_id"]), F.array().cast(f"array<{dict(benchmark.dtypes)['item_id']}>")).alias("items"),
         F.coalesce(F.array_max(F.transform("items", lambda x: x["coverage"])), F.lit(0.0)).alias("coverage"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents that no item contaminates, with the columns they came with."""
-    return matches(docs, benchmark, least, whole=True, name="__items").where(F.size("__items") == 0).select(*docs.columns)
+    """The documents that no item contaminates, with the columns they came with. Those that surely aren't among the matches aren't shuffled."""
+    found = matches(docs, benchmark, least).select(F.col("th").alias("__th"))
+    known = maybe_in(docs.withColumn("__th", F.xxhash64("text")), "__th", bit_table(found))
+    kept = known.where("__maybe").join(found, "__th", "left_anti").select(*docs.columns)
+    return known.where("not __maybe").select(*docs.columns).unionByName(kept)

@@ -32,14 +32,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import dropped, stored
-from .common import arrow_schema, need
-from .decontaminate import roll
+from .common import Words, arrow_schema, filtered, mix, need, roll, tidy
 
 U = np.uint64
 LATE = np.iinfo(U).max
@@ -47,7 +45,6 @@ WORDS, LEAST = 5, 0.8
 #: At similarity 0.8 a pair shares none of 32 bands of 6 once in 16,000; the leaders' links make that rarer.
 BANDS, ROWS = 32, 6
 WORD = re.compile(r"\w+")
-REMEMBERED = 300_000
 #: Texts with so many elements, or so many texts, get their darts at once.
 GATHERED, GATHERED_TEXTS = 100_000, 400
 #: The first rank region ends here, and each further one is twice as far; regions by weight end at 1, 2, 4 and so on.
@@ -58,26 +55,6 @@ RARE = 4
 ONE_TASK = 1 << 20
 #: Texts' keys that a signing task keeps, to give equal ones their bands once.
 KEYS = 1 << 18
-#: Pre-filter of stored sets: 2 ** FILTER_BITS words of 64 bits, whatever the input.
-FILTER_BITS = 18
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A finaliser for 64-bit hashes."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
-
-
-class Words(dict):
-    """64-bit hash by word; forgets everything when full."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
-        return h
 
 
 def shingles(text: str | None, known: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -205,20 +182,12 @@ def signed(docs: DataFrame, weigh: str = "count") -> DataFrame:
                         held, total = [], 0
         if held:
             yield flush()
+        held = known = None
+        tidy()
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string")).mapInArrow(run, out)
 
 
-def filtered(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
-    """Those of rows whose column may be among wanted's only one: a bit table of fixed size, so that what surely isn't needed isn't shuffled."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(64 << FILTER_BITS))
-    mask = F.expr("shiftleft(1L, cast(__bit % 64 as int))")
-    word = F.shiftright("__bit", 6).cast("int")
-    table = wanted.select(bit(wanted.columns[0]).alias("__bit")).select(word.alias("__word"), mask.alias("__m")).groupBy("__word").agg(F.bit_or("__m").alias("__m"))
-    found = rows.withColumn("__bit", bit(name)).withColumn("__word", word).join(F.broadcast(table), "__word")
-    return found.where(F.col("__m").bitwiseAND(mask) != 0).select(*rows.columns)
-
-
 def buckets(table: DataFrame) -> DataFrame:
     """band, key, n and leader (a key) of the bands that several texts share."""
     rows = table.where("bands is not null").select("key", "n", F.explode("bands").alias("band"))

@@ -7,14 +7,15 @@ documents. The predicted language has the prototype of the largest cosine with t
 The dot product of a bundle with a prototype is the sum of the dot products of its n-grams, so these are kept by
 n-gram and a document costs one lookup for each letter; its own length divides out of the comparison and of the score.
 
-Edge cases: a null text or one without a letter is ``und`` with score 0. Documents without language don't teach.
-No teaching document at all: everything is ``und``. Rows that occur twice are predicted twice. A null doc_id teaches
-nothing. Further columns are ignored by ``predict`` and ``learn``.
+Edge cases: a null text or one without a letter (of Unicode: digits, fractions and Roman numeral signs are none) is
+``und`` with score 0. Very long texts are taken whole, a block at a time. Equal cosines: the first language by name.
+Documents without language don't teach. No teaching document at all, or an empty table: everything is ``und``. Rows that
+occur twice are predicted twice. A null doc_id teaches nothing. Further columns are ignored by ``predict`` and ``learn``,
+whatever their names, and handed on by ``keep_identified``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,10 +27,9 @@ from .common import map_rows, need
 
 DIMENSIONS = 2048
 SEED = 20240501
-#: Letter codes: 0 parts words, 1-26 are a-z, 27-58 the letters of Latin-1 beyond, the rest shares what remains.
-CODES = 96
+#: Letter codes: 0 parts words, 1-26 are a-z, 27-59 the letters of Latin-1 beyond, the rest shares what remains.
+CODES, SHARED = 128, 60
 BLOCK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
@@ -45,7 +45,7 @@ def code_table() -> np.ndarray:
             elif 0xDF <= low <= 0xFF:
                 table[point] = low - 0xDF + 27
             else:
-                table[point] = 60 + low * 2654435761 % 2**32 % (CODES - 60)
+                table[point] = SHARED + low * 2654435761 % 2**32 // 2**8 % (CODES - SHARED)
     return table
 
 
@@ -62,11 +62,11 @@ def gram_vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
 
 
 def trigrams(text: str) -> Iterator[np.ndarray]:
-    """Ids of all letter trigrams, a block of the text at a time; runs of other characters count as one gap."""
+    """Ids of all letter trigrams, a block of the text at a time; runs of other characters, and the text's ends, count as one gap. None without a letter."""
     table = code_table()
     kept = np.zeros(1, np.uint8)  # the text begins with a gap
-    for start in range(0, len(text), BLOCK):
-        codes = table[np.frombuffer(text[start : start + BLOCK].encode("utf-32-le", "replace"), np.uint32)]
+    for start in range(0, len(text) + 1, BLOCK):
+        codes = table[np.frombuffer((text[start : start + BLOCK] + " " * (start + BLOCK > len(text))).encode("utf-32-le", "replace"), np.uint32)]
         codes = np.concatenate([kept, codes])
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
@@ -103,7 +103,7 @@ class Bundler:
     def __call__(self, text: str, lang: str) -> Iterator[tuple]:
         parts = list(trigrams(text))
         n = sum(map(len, parts))
-        if n and LETTER.search(text):
+        if n:
             weight = max(1, (1 << 20) // n)  # documents weigh alike, whatever their length
             for ids in parts:
                 slots, new = self.slots(ids)
@@ -144,8 +144,9 @@ class Comparer:
         self.slots = Slots()
         self.dots = np.zeros((1024, len(self.langs)))
 
-    def dot(self, text: str) -> tuple[np.ndarray, int]:
-        total, n = np.zeros(len(self.langs)), 0
+    def dot(self, text: str) -> tuple[np.ndarray, float, int]:
+        """The bundle's dot products with the prototypes, its length (taking n-gram vectors as orthogonal, as they nearly are by chance), and its number of n-grams."""
+        total, counts = np.zeros(len(self.langs)), np.zeros(0, np.int64)
         for ids in trigrams(text):
             slots, new = self.slots(ids)
             if len(new):
@@ -154,17 +155,22 @@ class Comparer:
                 for start in range(0, len(new), 1024):
                     part = new[start : start + 1024]
                     self.dots[self.slots.of[part]] = gram_vectors(part, self.prototypes.shape[1]) @ self.prototypes.T
-            total += np.bincount(slots, minlength=self.slots.n) @ self.dots[: self.slots.n]
-            n += len(ids)
-        return total, n
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not LETTER.search(text):
-            return UNKNOWN, 0.0
-        dots, _ = self.dot(text)
+            count = np.bincount(slots, minlength=self.slots.n)
+            total += count @ self.dots[: self.slots.n]
+            count[: len(counts)] += counts
+            counts = count
+        return total, float(np.sqrt((counts.astype(np.float64) ** 2).sum() * self.prototypes.shape[1])), int(counts.sum())
+
+    def __call__(self, text: str | None) -> tuple[str, float, float, int]:
+        """Language, score, the best cosine, and the number of n-grams."""
+        if not text or not self.langs:
+            return UNKNOWN, 0.0, 0.0, 0
+        dots, length, n = self.dot(text)
+        if not n:  # no letter
+            return UNKNOWN, 0.0, 0.0, 0
         best = int(np.argmax(np.round(dots, 6)))  # ties: the first by name
         positive = np.maximum(dots, 0)
-        return self.langs[best], round(float(positive[best] / total), 6) if (total := positive.sum()) > 0 else 0.0
+        return self.langs[best], round(float(positive[best] / total), 6) if (total := positive.sum()) > 0 else 0.0, float(dots[best]) / length, n
 
 
 def predict(docs: DataFrame, prototypes: dict[str, list[float]], *carry: str) -> DataFrame:
@@ -174,7 +180,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], *carry: str) ->
 
     def make():
         compare = Comparer(prototypes)
-        return lambda text, *rest: [(*rest, *compare(text))]
+        return lambda text, *rest: [(*rest, *compare(text)[:2])]
 
     names = ["doc_id", *carry]
     return map_rows(docs.select(F.col("text").cast("string"), *names), make, ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "lang_pred string", "score double"]))
@@ -192,20 +198,21 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(rows, prototypes, "held_out")
 
 
-#: A document is rejected if it is und or no language stands out: this many times an even share.
-LEAST_LIFT = 1.0
+#: A document is rejected if it is und, or if it has so many n-grams and its best cosine is not so many standard deviations
+#: (1 / sqrt(dimensions)) above what unrelated bundles have: its language or script is none of those learned. A few letters say too little.
+LEAST_DEVIATIONS, LEAST_GRAMS = 3.0, 30
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents of a known language, with the columns they came with. Rejects what is und, and nothing else by default."""
+def keep_identified(docs: DataFrame, least: float = LEAST_DEVIATIONS) -> DataFrame:
+    """The documents in a learned language, with the columns they came with: not und, and unless it is very short, like a prototype beyond chance."""
     prototypes = learn(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
 
     def make():
         compare = Comparer(prototypes)
 
         def keep(text: str | None, *rest):
-            lang, score = compare(text)
-            if lang != UNKNOWN and score * len(compare.langs) >= LEAST_LIFT:
+            lang, _, cosine, n = compare(text)
+            if lang != UNKNOWN and (n < LEAST_GRAMS or cosine > least / compare.prototypes.shape[1] ** 0.5):
                 yield (text, *rest)
 
         return keep

@@ -2,7 +2,8 @@
 
 The text is cut into pieces by the byte-level pattern; a piece's symbols form a doubly linked list. A queue holds the
 mergeable neighbours by rank, then place; entries whose symbols have changed meanwhile are stale and skipped. Decoding
-concatenates the vocabulary's byte strings. Pieces that come again are answered from a bounded memory of the task.
+concatenates the vocabulary's byte strings. Pieces that come again are answered from a bounded memory,
+which a worker keeps from task to task.
 
 Edge cases: null and empty texts give no ids; very long texts are encoded whole, and a piece of n bytes takes n log n steps;
 repeated rows are encoded one by one; equal ranks merge from the left; an empty table gives an empty result; further columns
@@ -25,6 +26,7 @@ from .common import map_rows, need
 
 #: Fixed value: the pattern of byte-level pre-tokenising.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces in each of a worker's two memories: some 50 MB together.
 REMEMBERED = 100_000
 #: Pieces longer than this aren't remembered.
 REMEMBER_LENGTH = 64
@@ -104,11 +106,6 @@ class Vocabulary:
             self.memory[text] = ids
         return ids
 
-    def forget(self) -> tuple:
-        """Ends a task's memory; the worker may live on."""
-        self.memory, self.older = {}, {}
-        return ()
-
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         piece = self.piece
@@ -147,7 +144,6 @@ def _each(docs: DataFrame, path: str | None, schema: str, row) -> DataFrame:
         def rows(doc_id, text) -> Iterator[tuple]:
             yield (doc_id, *row(vocabulary, vocabulary.encode(text or "")))
 
-        rows.last = vocabulary.forget
         return rows
 
     return map_rows(docs.select("doc_id", F.col("text").cast("string")), make, f"doc_id {dict(docs.dtypes)['doc_id']}, {schema}")

@@ -11,7 +11,9 @@ stands in.
 
 Edge cases: null html is an empty payload; a null url writes no target URI; line breaks in a url are percent-encoded;
 rows that repeat a page_id with the same payload are all responses if the page_id is the largest; a null page_id sorts first and
-is written as such. A file that doesn't begin with a record, or a broken chain, yields the records up to the break.
+is written as such; very long payloads are written and read whole; an empty table makes archives without records; further
+columns, whatever their names, are ignored. A file that doesn't begin with a record, or a broken chain, yields the records up
+to the break; strict reading raises Broken instead.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch, stored
-from .common import need
+from .common import bit_table, maybe_in, need
 
 MAGIC = "WARC/1.0\r\n"
 LEAST_BYTES = 1000
@@ -38,10 +40,13 @@ def marked(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", F.sha1(F.col("payload").cast("binary")))
     large = pages.select("page_id", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("p")).where(F.octet_length("p") >= least)
     groups = large.groupBy(F.sha1(F.col("p").cast("binary")).alias("payload_digest")).agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = groups.select("payload_digest", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(groups, ["payload_digest", "salt"], "left")
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("refers_to"))
+    groups = stored(groups.select("payload_digest", "last"), "warc-groups")
+    # payloads that surely occur once aren't shuffled
+    known = maybe_in(rows, "payload_digest", bit_table(groups.select("payload_digest")))
+    salted = known.where("__maybe").withColumn("__salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["payload_digest", "__salt"], "left").select(*rows.columns, "last")
+    every = joined.unionByName(known.where("not __maybe").select(*rows.columns, F.lit(None).cast(dict(rows.dtypes)["page_id"]).alias("last")))
+    return every.select(*rows.columns, F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("refers_to")).select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")
 
 
 def urn(page_id: Column) -> Column:
@@ -150,11 +155,20 @@ def reachable(links: DataFrame) -> DataFrame:
     return kept
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the archives below path: file, at, record_type, record_id, refers_to, url, payload_bytes and payload_digest (of a revisit as stated, else as read)."""
+class Broken(ValueError):
+    """Archives whose chain of records ends before the file does."""
+
+
+def read(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """The records of the archives below path, all of them if strict: file, at, record_type, record_id, refers_to, url, payload_bytes and payload_digest (of a revisit as stated, else as read)."""
     found = stored(candidates(spark, path), "warc-candidates")
     starts = reachable(found.select("file", "at", "next"))
     true = found.where("next is not null").join(starts, ["file", "at"], "left_semi")
+    if strict:
+        ends = found.groupBy("file").agg(F.max("end").alias("end")).join(true.groupBy("file").agg(F.max("next").alias("reached")), "file", "left")
+        bad = ends.where("end > 0 and (reached is null or reached != end)")
+        if n := bad.count():
+            raise Broken(f"{n} archives end before their chain does, such as {bad.first().file}")
     whole = true.where("end = next")
     records = whole.select("file", "at", *COLUMNS, "stated_digest", "http_length", "payload_bytes", "payload_digest")
     broken = true.where("end < next")
@@ -192,7 +206,7 @@ def archive_and_read(pages: DataFrame) -> DataFrame:
     """Writes pages to archives in the shared folder and reads them: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     kind = dict(pages.dtypes)["page_id"]
-    records = read(spark, write(pages, scratch(spark, "warc")))
+    records = read(spark, write(pages, scratch(spark, "warc")), strict=True)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(.*)>$", 1)
     page = number(F.col("record_id"))
     return records.select(F.when(page != "null", page).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).cast(kind).alias("refers_to"))

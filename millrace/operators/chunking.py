@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_context, context_header, section_title, strip
+from ..functions.text import ODD_SPACE, compact_context, context_header, section_title, strip
 
 # Sizes in characters, and sections in a chunk.
 SHORTEST_SECTION, TARGET, LEAST, LARGE, MOST, SECTIONS = 10, 600, 200, 1200, 4000, 8
@@ -66,14 +66,19 @@ def split_by_headers(docs: DataFrame) -> DataFrame:
 
 def sentences(text: Column) -> Column:
     """Default splitter: after . ! ? and white space."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
+    cut = lambda c: F.split(c, r"(?<=[.!?])\s+")
+    # where a text has plain white space only, its parts have none at their ends once the text has none
+    parts = F.when(text.rlike(ODD_SPACE), F.transform(cut(text), strip)).otherwise(cut(F.btrim(text, F.lit(" \t\n\x0b\f\r"))))
+    return F.array_remove(parts, "")
 
 
 def split_sentences(docs: DataFrame, size: int = 3, splitter: Callable[[Column], Column] = sentences, prefix: Column | None = None) -> DataFrame:
     """Windows of so many sentences, without overlap: doc_id, chunk_index, chunk."""
     found = docs.withColumn("__s", splitter(F.col("text")))
     groups = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("__s") / size).cast("int") - 1)), lambda i: F.array_join(F.slice("__s", i * size + 1, size), " "))
-    rows = found.where(F.size("__s") > 0).select("doc_id", *(["source"] if "source" in docs.columns else []), *([prefix.alias("__p")] if prefix is not None else []), F.posexplode(groups).alias("chunk_index", "chunk"))
+    # null instead of a filter, which would be evaluated on the text once more
+    groups = F.when(F.size("__s") > 0, groups)
+    rows = found.select("doc_id", *(["source"] if "source" in docs.columns else []), *([prefix.alias("__p")] if prefix is not None else []), F.posexplode(groups).alias("chunk_index", "chunk"))
     if prefix is not None:
         rows = rows.withColumn("chunk", F.when(F.coalesce(F.col("__p"), F.lit("")) != "", F.concat(F.lit("[Document Context: "), F.col("__p"), F.lit("]\n\n"), F.col("chunk"))).otherwise(F.col("chunk"))).drop("__p")
     return rows

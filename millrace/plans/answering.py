@@ -6,24 +6,29 @@ Stages add columns: cache hit, safety, rewrite, hypothesis, retrieval, fusion, r
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import logs
-from ..functions.text import doubtful, is_safe, question_hash, safety
+from ..functions.text import doubtful, index_tokens, is_safe, question_hash, safety
 from ..operators import answers, chunking, fusion, lexical, rerank, vectors
 from ..plugins import Models, filled
 from ..session import stored
 
 VECTOR_K, LEXICAL_K, RERANK_K = 50, 100, 12
+#: So many chunks among the hits are broadcast when their texts are read; more are joined by shuffle.
+BROADCAST_HITS = 200_000
 NAVIGATION, REDIRECT = "NAVIGATION_QUERY", "REDIRECT:"
 
 
 def build(docs: DataFrame, models: Models) -> DataFrame:
-    """Chunks of docs (doc_id, text, source, content_type, code, title) with vectors: chunk_id, doc_id, source, content, embedding."""
+    """Chunks of docs (doc_id, text, source, content_type, code, title) with vectors: chunk_id, doc_id, source, content, tokens (of the lexical index), embedding."""
     chunks = chunking.route(docs).withColumn("chunk_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
-    return chunks.select("chunk_id", "doc_id", "source", F.col("page_content").alias("content"), models.embed(F.col("page_content")).alias("embedding"))
+    chunks = chunks.select("chunk_id", "doc_id", "source", F.col("page_content").alias("content"), index_tokens(F.coalesce("page_content", F.lit(""))).alias("tokens"))
+    of_tokens = getattr(models.embed, "of_tokens", None)
+    return chunks.withColumn("embedding", of_tokens(F.col("tokens")) if of_tokens else models.embed(F.col("content")))
 
 
 def route(rule, rewritten):
@@ -33,15 +38,21 @@ def route(rule, rewritten):
 
 def retrieve(questions: DataFrame, chunks: DataFrame, index: lexical.Index, models: Models, weights: fusion.Weights = fusion.Weights()) -> DataFrame:
     """Fused hits of questions (query_id, query, hyde): query_id, doc_id (the chunk), content, scores, rank."""
-    content = chunks.select(F.col("chunk_id").alias("doc_id"), "content", "source")
     space = chunks.select(F.col("chunk_id").alias("doc_id"), "embedding")
-    near = lambda text: vectors.nearest(space, questions.where(text.isNotNull()).select("query_id", models.embed(text).alias("embedding")), VECTOR_K).join(content, "doc_id")
-    rag = near(F.col("query"))
-    words = lexical.search(index, questions, LEXICAL_K).join(content, "doc_id")
-    fused = fusion.fuse(rag, words, weights)
+    near = lambda text: vectors.nearest(space, questions.where(text.isNotNull()).select("query_id", models.embed(text).alias("embedding")), VECTOR_K).select("query_id", "doc_id", "rank")
+    lists = [near(F.col("query")), lexical.search(index, questions, LEXICAL_K)]
     if models.hypothesis is not None:
-        extra = near(F.col("hyde")).select("query_id", "doc_id", "content", "rank")
-        fused = fusion.with_extras(fused, extra)
+        lists.append(near(F.col("hyde")))
+    lists = [stored(x, "hits") for x in lists]
+    # the texts of all lists in one pass over the chunks
+    wanted = reduce(DataFrame.union, (x.select("doc_id") for x in lists)).distinct()
+    few = wanted.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+    content = chunks.select(F.col("chunk_id").alias("doc_id"), "content", "source").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    content = stored(content, "hit-texts")
+    rag, words, *extra = (x.join(content.select("doc_id", "content"), "doc_id") for x in lists)
+    fused = fusion.fuse(rag, words, weights)
+    if extra:
+        fused = fusion.with_extras(fused, extra[0].select("query_id", "doc_id", "content", "rank"))
     return fused.join(content.select("doc_id", "source"), "doc_id", "left")
 
 
@@ -65,7 +76,7 @@ def answer(questions: DataFrame, chunks: DataFrame, cache: DataFrame, models: Mo
     asked = staged.where("route = 'retrieve'").select("query_id", F.col("rewritten").alias("query"))
     asked = asked.withColumn("hyde", models.hypothesis(filled("hypothesis", question=F.col("query"))) if models.hypothesis else F.lit(None).cast("string"))
     asked = stored(asked, "answers-asked")
-    index = lexical.build(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")))
+    index = lexical.build(chunks.select(F.col("chunk_id").alias("doc_id"), *(["tokens"] if "tokens" in chunks.columns else [F.col("content").alias("text")])))
     found = retrieve(asked, chunks, index, models).join(asked.select("query_id", "query"), "query_id")
     top = rerank.grade(stored(rerank.rerank(found, RERANK_K, models.score), "answers-top"), models.grade)
     good = rerank.only_relevant(top)

@@ -10,8 +10,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .functions.text import index_tokens
 
@@ -30,24 +34,28 @@ class TextModel(Protocol):
     def __call__(self, prompt: Column) -> Column: ...
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once a row, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def hashing_embedder(dimensions: int = 64) -> Embedder:
-    """Unit vectors of signed token counts by hash, in built-in expressions."""
-
-    def embed(text: Column) -> Column:
+    """Unit vectors of signed token counts by hash: built-in expressions give a code to each token, numpy adds them up."""
+
+    @F.arrow_udf(returnType=ArrayType(FloatType()))
+    def summed(codes: pa.Array) -> pa.Array:
+        n = pc.list_value_length(codes).to_numpy()
+        code = codes.flatten().to_numpy()
+        cell = np.repeat(np.arange(len(n)) * dimensions, n) + code // 2
+        sums = np.bincount(cell, code % 2 * 2.0 - 1, minlength=len(n) * dimensions).reshape(len(n), dimensions)
+        norm = np.sqrt((sums**2).sum(axis=1, keepdims=True))
+        unit = (sums / np.where(norm > 0, norm, 1)).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * dimensions), pa.array(unit.ravel()))
+
+    def of_tokens(tokens: Column) -> Column:
         place = lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int")
         sign = lambda t: F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)).cast("int")
-        codes = F.transform(index_tokens(F.coalesce(text, F.lit(""))), lambda t: place(t) * 2 + sign(t))
-        # a place's sum by what stays when its codes go
-        at = lambda c, i: (F.size(F.array_remove(c, i * 2 + 1)) - F.size(F.array_remove(c, i * 2))).cast("double")
-        sums = _once(codes, lambda c: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: at(c, i)))
-        norm = lambda s: F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, x: a + x * x))
-        return _once(sums, lambda s: _once(norm(s), lambda n: F.transform(s, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float"))))
+        return summed(F.transform(tokens, lambda t: place(t) * 2 + sign(t)))
+
+    def embed(text: Column) -> Column:
+        return of_tokens(index_tokens(F.coalesce(text, F.lit(""))))
 
+    embed.of_tokens = of_tokens  # for those who have the tokens of the lexical index
     return embed
 
 
